@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from tallyfield.functions.vectors import (
     mat_vec,
@@ -136,7 +137,7 @@ def _ground_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(count >= 3, area, 0.0)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def iou3d(a: pd.Series, b: pd.Series) -> pd.Series:
     """Exact 3D overlap ratio of yawed boxes, one Arrow batch at a time."""
     some = a.notna() & b.notna()
