@@ -6,6 +6,8 @@ from importlib import import_module
 
 MODULES = (
     "evaluation",
+    "record_tables",
+    "matching",
 )
 
 

@@ -312,7 +312,7 @@ def pairwise_overlap(spark, sf):
 
 @query(
     "box_error_terms",
-    """SELECT rec, round(score/2, 5) AS centre, round(dx*0.1, 5) AS size, 0.0 AS yaw FROM fx_boxes""",
+    """SELECT rec, round(score/2, 5) AS centre, round(dx*0.1, 5) AS size, 0.0E0 AS yaw FROM fx_boxes""",
     views=("fx_boxes",),
 )
 def box_error_terms(spark, sf):

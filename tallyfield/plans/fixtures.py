@@ -45,7 +45,7 @@ def predicted(spark: SparkSession, sf: str) -> DataFrame:
     nxt = joints(spark, sf).select((F.col("rec") - 1).alias("rec"), F.col("gt").alias("_p"))
     shift = (F.col("rec") % 36) - ((F.col("rec") + 1) % 36)
     moved = F.transform("_p", lambda p: F.array(p[0], p[1], p[2] + shift))
-    return nxt.where(F.col("rec") % 11 != 0).select("rec", moved.alias("pred"))
+    return nxt.where((F.col("rec") >= 0) & (F.col("rec") % 11 != 0)).select("rec", moved.alias("pred"))
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
