@@ -7,20 +7,44 @@ records: x right, y down, z forward, metres; up is -y.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import reduce, wraps
 from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _c(x: Column | str) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+def array(*parts: Column) -> Column:
+    """An array column that remembers its parts.
+
+    Functions that read single elements then build on the parts; nesting whole arrays would
+    multiply the size of the expression at every step.
+    """
+    out = F.array(*parts)
+    out._tallyfield_parts = list(parts)
+    return out
+
+
+def by_parts(fn):
+    """Hands remembered parts to ``fn`` in place of the array column."""
+
+    @wraps(fn)
+    def run(*args, **named):
+        return fn(*[parts_of(a) for a in args], **named)
+
+    return run
+
+
+def parts_of(value):
+    """The remembered parts of an array column, or the value itself."""
+    if isinstance(value, Column):
+        return value.__dict__.get("_tallyfield_parts", value)
+    return value
 
 
 def vec(*parts: Column | float) -> Column:
     """An array column from its parts."""
-    return F.array(*[(p if isinstance(p, Column) else F.lit(p)).cast("double") for p in parts])
+    return array(*[(p if isinstance(p, Column) else F.lit(p)).cast("double") for p in parts])
 
 
 def total(parts: Sequence[Column]) -> Column:
@@ -28,53 +52,62 @@ def total(parts: Sequence[Column]) -> Column:
     return reduce(add, parts)
 
 
+@by_parts
 def dot(a: Column, b: Column, n: int = 3) -> Column:
     """Inner product of two n-vectors."""
     return total([a[i] * b[i] for i in range(n)])
 
 
+@by_parts
 def sub(a: Column, b: Column, n: int = 3) -> Column:
     """Difference of two n-vectors."""
-    return F.array(*[a[i] - b[i] for i in range(n)])
+    return array(*[a[i] - b[i] for i in range(n)])
 
 
+@by_parts
 def plus(a: Column, b: Column, n: int = 3) -> Column:
     """Sum of two n-vectors."""
-    return F.array(*[a[i] + b[i] for i in range(n)])
+    return array(*[a[i] + b[i] for i in range(n)])
 
 
+@by_parts
 def scaled(a: Column, s: Column | float, n: int = 3) -> Column:
     """A vector times a number."""
-    return F.array(*[a[i] * s for i in range(n)])
+    return array(*[a[i] * s for i in range(n)])
 
 
+@by_parts
 def cross(a: Column, b: Column) -> Column:
     """Cross product."""
-    return F.array(
+    return array(
         a[1] * b[2] - a[2] * b[1],
         a[2] * b[0] - a[0] * b[2],
         a[0] * b[1] - a[1] * b[0],
     )
 
 
+@by_parts
 def norm(a: Column, n: int = 3) -> Column:
     """Euclidean length."""
     return F.sqrt(dot(a, a, n))
 
 
+@by_parts
 def distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two points."""
     return norm(sub(a, b))
 
 
+@by_parts
 def transpose(m: Column) -> Column:
     """Transpose of a 3x3 matrix."""
-    return F.array(*[m[3 * j + i] for i in range(3) for j in range(3)])
+    return array(*[m[3 * j + i] for i in range(3) for j in range(3)])
 
 
+@by_parts
 def mat_mul(a: Column, b: Column, n: int = 3) -> Column:
     """Product of two n x n matrices."""
-    return F.array(
+    return array(
         *[
             total([a[n * i + k] * b[n * k + j] for k in range(n)])
             for i in range(n)
@@ -83,11 +116,13 @@ def mat_mul(a: Column, b: Column, n: int = 3) -> Column:
     )
 
 
+@by_parts
 def mat_vec(m: Column, v: Column) -> Column:
     """3x3 matrix times vector."""
-    return F.array(*[total([m[3 * i + k] * v[k] for k in range(3)]) for i in range(3)])
+    return array(*[total([m[3 * i + k] * v[k] for k in range(3)]) for i in range(3)])
 
 
+@by_parts
 def det(m: Column) -> Column:
     """Determinant of a 3x3 matrix."""
     return (
@@ -100,36 +135,44 @@ def det(m: Column) -> Column:
 # --- rigid transforms ---------------------------------------------------------
 
 
+@by_parts
 def se3(r: Column, t: Column) -> Column:
     """4x4 transform from a rotation and a translation."""
-    rows = [F.array(r[3 * i], r[3 * i + 1], r[3 * i + 2], t[i]) for i in range(3)]
-    return F.concat(*rows, vec(0.0, 0.0, 0.0, 1.0))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    rows = [x for i in range(3) for x in (r[3 * i], r[3 * i + 1], r[3 * i + 2], t[i])]
+    # one flat array: the optimizer then reads single elements without building it
+    return array(*rows, zero, zero, zero, one)
 
 
+@by_parts
 def rotation_of(m: Column) -> Column:
     """Rotation part of a 4x4 transform."""
-    return F.array(*[m[4 * i + j] for i in range(3) for j in range(3)])
+    return array(*[m[4 * i + j] for i in range(3) for j in range(3)])
 
 
+@by_parts
 def translation_of(m: Column) -> Column:
     """Translation part of a 4x4 transform."""
-    return F.array(m[3], m[7], m[11])
+    return array(m[3], m[7], m[11])
 
 
+@by_parts
 def se3_inv(m: Column) -> Column:
     """Inverse of a rigid transform."""
     rt = transpose(rotation_of(m))
     return se3(rt, scaled(mat_vec(rt, translation_of(m)), F.lit(-1.0)))
 
 
+@by_parts
 def se3_mul(a: Column, b: Column) -> Column:
     """Composition of two 4x4 transforms."""
     return mat_mul(a, b, 4)
 
 
+@by_parts
 def se3_apply(m: Column, p: Column) -> Column:
     """A point moved by a rigid transform."""
-    return F.array(
+    return array(
         *[
             total([m[4 * i + k] * p[k] for k in range(3)]) + m[4 * i + 3]
             for i in range(3)
@@ -151,18 +194,20 @@ def check_rigid(m: Column, tol: float = 1e-5) -> Column:
 # --- rotations ----------------------------------------------------------------
 
 
+@by_parts
 def quat_to_matrix(q: Column, scalar_last: bool = False) -> Column:
     """Rotation matrix of a quaternion (w, x, y, z), normalised first."""
     w, x, y, z = (q[3], q[0], q[1], q[2]) if scalar_last else (q[0], q[1], q[2], q[3])
     n = F.sqrt(w * w + x * x + y * y + z * z)
     w, x, y, z = w / n, x / n, y / n, z / n
-    return F.array(
+    return array(
         1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w),
         2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w),
         2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y),
     )
 
 
+@by_parts
 def rotvec_to_matrix(v: Column) -> Column:
     """Rotation matrix of an axis-angle vector."""
     t = norm(v)
@@ -172,7 +217,7 @@ def rotvec_to_matrix(v: Column) -> Column:
         (1 - F.cos(t)) / F.when(small, 1.0).otherwise(t * t)
     )
     x, y, z = v[0], v[1], v[2]
-    return F.array(
+    return array(
         1 - b * (y * y + z * z), b * x * y - a * z, b * x * z + a * y,
         b * x * y + a * z, 1 - b * (x * x + z * z), b * y * z - a * x,
         b * x * z - a * y, b * y * z + a * x, 1 - b * (x * x + y * y),
@@ -183,11 +228,13 @@ def _clamp(x: Column) -> Column:
     return F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0))
 
 
+@by_parts
 def rotation_angle(r: Column) -> Column:
     """Angle of a rotation matrix, 0 to pi."""
     return F.acos(_clamp((r[0] + r[4] + r[8] - 1) / 2))
 
 
+@by_parts
 def geodesic(a: Column, b: Column) -> Column:
     """Angle between two rotations."""
     # trace of a^T b needs no product
@@ -195,6 +242,7 @@ def geodesic(a: Column, b: Column) -> Column:
     return F.acos(_clamp((trace - 1) / 2))
 
 
+@by_parts
 def matrix_to_rotvec(r: Column) -> Column:
     """Axis-angle vector of a rotation matrix.
 
@@ -207,9 +255,9 @@ def matrix_to_rotvec(r: Column) -> Column:
     d = [F.sqrt(F.greatest((r[4 * i] + 1) / 2, F.lit(0.0))) for i in range(3)]
     first = d[0] >= F.greatest(d[1], d[2])
     second = d[1] >= d[2]
-    on_x = F.array(d[0], (r[1] + r[3]) / (4 * d[0]), (r[2] + r[6]) / (4 * d[0]))
-    on_y = F.array((r[1] + r[3]) / (4 * d[1]), d[1], (r[5] + r[7]) / (4 * d[1]))
-    on_z = F.array((r[2] + r[6]) / (4 * d[2]), (r[5] + r[7]) / (4 * d[2]), d[2])
+    on_x = array(d[0], (r[1] + r[3]) / (4 * d[0]), (r[2] + r[6]) / (4 * d[0]))
+    on_y = array((r[1] + r[3]) / (4 * d[1]), d[1], (r[5] + r[7]) / (4 * d[1]))
+    on_z = array((r[2] + r[6]) / (4 * d[2]), (r[5] + r[7]) / (4 * d[2]), d[2])
     axis = F.when(first, on_x).when(second, on_y).otherwise(on_z)
     half = scaled(axis, t / norm(axis))
     return (
@@ -221,33 +269,36 @@ def yaw_matrix(angle: Column) -> Column:
     """Rotation about the up axis (-y) of the camera frame."""
     c, s = F.cos(angle), F.sin(angle)
     o, z = F.lit(1.0), F.lit(0.0)
-    return F.array(c, z, -s, z, o, z, s, z, c)
+    return array(c, z, -s, z, o, z, s, z, c)
 
 
 def euler_xyz_to_matrix(x: Column, y: Column, z: Column) -> Column:
     """Rotation about x, then y, then z (fixed axes), angles in radians."""
     one, nil = F.lit(1.0), F.lit(0.0)
-    rx = F.array(one, nil, nil, nil, F.cos(x), -F.sin(x), nil, F.sin(x), F.cos(x))
-    ry = F.array(F.cos(y), nil, F.sin(y), nil, one, nil, -F.sin(y), nil, F.cos(y))
-    rz = F.array(F.cos(z), -F.sin(z), nil, F.sin(z), F.cos(z), nil, nil, nil, one)
+    rx = array(one, nil, nil, nil, F.cos(x), -F.sin(x), nil, F.sin(x), F.cos(x))
+    ry = array(F.cos(y), nil, F.sin(y), nil, one, nil, -F.sin(y), nil, F.cos(y))
+    rz = array(F.cos(z), -F.sin(z), nil, F.sin(z), F.cos(z), nil, nil, nil, one)
     return mat_mul(rz, mat_mul(ry, rx))
 
 
+@by_parts
 def heading_yaw(v: Column, up: int = 1) -> Column:
     """Yaw of a heading vector in the plane orthogonal to axis ``up``."""
     a, b = [i for i in range(3) if i != up]
     return F.atan2(v[b], v[a])
 
 
+@by_parts
 def matrix_yaw(r: Column, up: int = 1) -> Column:
     """Yaw of a rotation: the direction its first in-plane axis is turned to."""
     a, b = [i for i in range(3) if i != up]
     return F.atan2(r[3 * b + a], r[3 * a + a])
 
 
+@by_parts
 def remap_axes(p: Column, axes: Sequence[tuple[int, int]]) -> Column:
     """A point in another axis convention: one (source index, sign) per target axis."""
-    return F.array(*[p[i] * float(sign) for i, sign in axes])
+    return array(*[p[i] * float(sign) for i, sign in axes])
 
 
 # fixed values: axis conventions as (source index, sign) per target axis

@@ -151,14 +151,7 @@ def best_camera(corners: Column, cameras: Column, z_min: float = 0.1) -> Column:
     """
 
     def seen(cam: Column) -> Column:
-        uvz = F.transform(
-            corners,
-            lambda p: F.array(
-                *[
-                    V.se3_apply(cam["pose"], p)[i] for i in range(3)
-                ]
-            ),
-        )
+        uvz = F.transform(corners, lambda p: V.se3_apply(cam["pose"], p))
         px = F.transform(
             uvz,
             lambda q: F.array(

@@ -8,6 +8,7 @@ MODULES = (
     "evaluation",
     "record_tables",
     "matching",
+    "geometry",
 )
 
 
