@@ -46,21 +46,27 @@ def azimuth_window(
         return F.degrees(F.atan2(side, ahead))
 
     half = RANGE_STEPS // 2
-    middle = (depth[half - 1] + depth[half]) / 2.0
     zero = F.lit(0.0)
-    az0 = azimuth(zero, zero, middle)
-    edges = []
-    for u in (zero, width):
-        for v in (zero, height):
-            x, y = (u - cam["cx"]) / cam["fx"], (v - cam["cy"]) / cam["fy"]
-            edges.append(F.transform(depth, _edge(azimuth, x, y)))
-    rel = F.transform(F.concat(*edges), lambda a: F.pmod(a - az0 + 180.0, F.lit(360.0)) - 180.0)
-    return F.struct(
-        hfov.alias("hfov"),
-        (az0 + F.array_min(rel)).alias("az_min"),
-        (az0 + F.array_max(rel)).alias("az_max"),
-        F.bround(hfov / 360.0 * steps).cast("long").alias("columns"),
-    )
+
+    def window(depths: Column) -> Column:
+        edges = []
+        for u in (zero, width):
+            for v in (zero, height):
+                x, y = (u - cam["cx"]) / cam["fx"], (v - cam["cy"]) / cam["fy"]
+                edges.append(F.transform(depths, _edge(azimuth, x, y)))
+        middle = azimuth(zero, zero, (depths[half - 1] + depths[half]) / 2.0)
+        return F.struct(middle.alias("az0"), F.concat(*edges).alias("az"))
+
+    def around(w: Column) -> Column:
+        rel = F.transform(w["az"], lambda a: F.pmod(a - w["az0"] + 180.0, F.lit(360.0)) - 180.0)
+        return F.struct(
+            hfov.alias("hfov"),
+            (w["az0"] + F.array_min(rel)).alias("az_min"),
+            (w["az0"] + F.array_max(rel)).alias("az_max"),
+            F.bround(hfov / 360.0 * steps).cast("long").alias("columns"),
+        )
+
+    return V.let(V.let(depth, window), around)
 
 
 def _edge(azimuth, x: Column, y: Column):

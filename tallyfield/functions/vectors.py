@@ -42,6 +42,11 @@ def parts_of(value):
     return value
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row however often it is read."""
+    return F.transform(F.array(value), use)[0]
+
+
 def vec(*parts: Column | float) -> Column:
     """An array column from its parts."""
     return array(*[(p if isinstance(p, Column) else F.lit(p)).cast("double") for p in parts])

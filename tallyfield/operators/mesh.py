@@ -72,11 +72,6 @@ def _mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
 
 
-def _unit(a: Column) -> Column:
-    length = F.greatest(V.norm(a), F.lit(1e-12))
-    return V.array(*[V.parts_of(a)[i] / length for i in range(3)])
-
-
 def mesh_diff(gt: Column, pred: Column, faces: Column, gt_root: Column, pred_root: Column) -> Column:
     """Struct of vertex L1 (root-relative), edge-length L1 and edge-normal cosine of one record."""
     vertex = _mean(
@@ -100,12 +95,20 @@ def mesh_diff(gt: Column, pred: Column, faces: Column, gt_root: Column, pred_roo
 
     def cosine(f: Column) -> Column:
         g0 = _corner(gt, f, 0)
-        n = _unit(V.cross(V.sub(_corner(gt, f, 1), g0), V.sub(_corner(gt, f, 2), g0)))
-        cos = []
-        for i, j in sides:
-            e = _unit(V.sub(_corner(pred, f, j), _corner(pred, f, i)))
-            cos.append(F.abs(V.dot(e, n)))
-        return V.total(cos) / 3.0
+        normal = V.cross(V.sub(_corner(gt, f, 1), g0), V.sub(_corner(gt, f, 2), g0))
+        edges = [V.sub(_corner(pred, f, j), _corner(pred, f, i)) for i, j in sides]
+        return V.let(
+            F.array(normal, *edges),
+            lambda m: V.total(
+                [
+                    F.abs(V.dot(m[0], m[k]))
+                    / F.greatest(V.norm(m[0]), F.lit(1e-12))
+                    / F.greatest(V.norm(m[k]), F.lit(1e-12))
+                    for k in (1, 2, 3)
+                ]
+            )
+            / 3.0,
+        )
 
     return F.struct(
         vertex.alias("vertex"),
@@ -124,21 +127,16 @@ def nearest_rotation(h: pd.Series) -> pd.Series:
     return pd.Series(list(((u * fix[:, None]) @ vt).reshape(-1, 9)))
 
 
-def rotation_prior(df: DataFrame, by: str, rotation: str, max_rows: int = 200_000) -> DataFrame:
-    """Mean rotation and spread (rms angle) per joint.
+def rotation_prior(df: DataFrame, by: str, rotation: str) -> DataFrame:
+    """Mean rotation and spread (rms angle) per joint, over all rows.
 
     The mean is the average matrix moved to the closest rotation; only one row per joint meets
-    Python. ``max_rows`` keeps the first rows by joint hash as the feature asks; 0 keeps all.
+    Python.
     """
-    d = df
-    if max_rows:
-        share = max_rows / max(df.count(), 1)
-        if share < 1:
-            d = df.where(F.pmod(F.xxhash64(*df.columns), F.lit(1_000_000)) < int(share * 1_000_000))
-    means = d.groupBy(by).agg(F.array(*[F.avg(F.col(rotation)[i]) for i in range(9)]).alias("_m"))
+    means = df.groupBy(by).agg(F.array(*[F.avg(F.col(rotation)[i]) for i in range(9)]).alias("_m"))
     mean = means.select(by, nearest_rotation("_m").alias("mean"))
     angle = V.geodesic(F.col("mean"), F.col(rotation))
-    spread = d.join(mean, by).groupBy(by).agg(F.sqrt(F.avg(angle * angle)).alias("sigma"))
+    spread = df.join(mean, by).groupBy(by).agg(F.sqrt(F.avg(angle * angle)).alias("sigma"))
     return mean.join(spread, by)
 
 

@@ -10,6 +10,7 @@ a cell that holds most of the table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from itertools import product
@@ -34,26 +35,38 @@ def _up(col: str, levels: int) -> Column:
 
 
 def _depth_needed(points: DataFrame, by: list[str], cells: list[str], leaf: int) -> int:
-    """Smallest depth whose fullest cell holds at most ``leaf`` positions."""
-    fine = points.groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("_n"))
-    levels = fine.select(
-        *by, *cells, "_n", F.explode(F.sequence(F.lit(0), F.lit(MAX_DEPTH))).alias("_lv")
-    )
-    shifted = levels.select(
-        *by,
-        "_lv",
-        "_n",
-        *[F.expr(f"shiftright({c}, {MAX_DEPTH} - _lv)").alias(c) for c in cells],
-    )
-    fullest = (
-        shifted.groupBy("_lv", *by, *cells)
-        .agg(F.sum("_n").alias("_n"))
-        .groupBy("_lv")
-        .agg(F.max("_n").alias("_n"))
-        .collect()  # one row per level
-    )
-    fitting = [r["_lv"] for r in fullest if r["_n"] <= leaf]
-    return min(fitting) if fitting else MAX_DEPTH
+    """A depth whose fullest cell holds at most ``leaf`` positions.
+
+    The fullest starting cell gives the depth an even spread would need; from there on four
+    depths at a time are counted until one fits. ``cells`` are given at ``MAX_DEPTH``.
+    """
+
+    def counted(depth: int) -> DataFrame:
+        at = [_up(c, MAX_DEPTH - depth).alias(c) for c in cells]
+        return points.select(*by, *at).groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("_n"))
+
+    top = counted(0).agg(F.max("_n")).first()[0] or 0
+    if top <= leaf:
+        return 0
+    first = max(1, math.ceil(math.log(top / leaf, 1 << len(cells))))
+    while first < MAX_DEPTH:
+        last = min(first + 3, MAX_DEPTH)
+        drops = F.explode(F.sequence(F.lit(0), F.lit(last - first))).alias("_up")
+        levels = counted(last).select(*by, *cells, "_n", drops)
+        at = [F.expr(f"shiftright({c}, _up)").alias(c) for c in cells]
+        fullest = (
+            levels.select(*by, "_up", "_n", *at)
+            .groupBy("_up", *by, *cells)
+            .agg(F.sum("_n").alias("_n"))
+            .groupBy("_up")
+            .agg(F.max("_n").alias("_n"))
+            .collect()  # at most four rows
+        )
+        fitting = [last - r["_up"] for r in fullest if r["_n"] <= leaf]
+        if fitting:
+            return min(fitting)
+        first = last + 1
+    return MAX_DEPTH
 
 
 def nearest(

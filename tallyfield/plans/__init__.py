@@ -9,6 +9,7 @@ MODULES = (
     "record_tables",
     "matching",
     "geometry",
+    "boards",
 )
 
 

@@ -418,7 +418,7 @@ def icp_displacements(spark, sf):
 def rotation_priors(spark, sf):
     a = F.lit(0.01) * (F.col("rec") % 50)
     d = fx.joints(spark, sf).select("ds", "rec", V.yaw_matrix(a).alias("r"))
-    prior = M.rotation_prior(d, "ds", "r", 0)
+    prior = M.rotation_prior(d, "ds", "r")
     mean = d.groupBy("ds").agg(F.avg(F.col("r")[0]).alias("c"))
     return mean.join(prior, "ds").where(F.col("sigma") >= 0).select("ds", _r("c").alias("c"))
 
