@@ -210,15 +210,18 @@ class Ordered:
         return self.df.drop("_part") if self.split else self.df
 
 
-def with_group(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
+def with_group(df: DataFrame, by: Sequence[str], *aggs: Column, cut: bool = False) -> DataFrame:
     """Group aggregates joined back to every row.
 
     Aggregating first combines on the map side, so a hot group costs one small row per task;
-    an unbounded window would sort the whole group in one task.
+    an unbounded window would sort the whole group in one task. In a chain of such steps each
+    join would double the work before it: ``cut`` then writes the small aggregate table.
     """
     if not by:
         return df.crossJoin(df.agg(*aggs))  # exactly one row on the right
     totals = df.groupBy(*by).agg(*aggs)
+    if cut:
+        totals = checkpoint(totals)
     renamed = totals.select(
         *[F.col(b).alias(f"_g_{b}") for b in by], *[c for c in totals.columns if c not in by]
     )

@@ -10,6 +10,7 @@ MODULES = (
     "matching",
     "geometry",
     "boards",
+    "mixtures",
 )
 
 

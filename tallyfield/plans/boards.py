@@ -244,14 +244,14 @@ def _evals(spark, sf):
 
 @query(
     "best_checkpoints",
-    """SELECT run, eval, round(score, 4) AS score, score < coalesce(min(score) OVER (PARTITION BY run ORDER BY eval ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e300) AS is_best
+    """SELECT run, eval, round(score, 9) AS score, score < coalesce(min(score) OVER (PARTITION BY run ORDER BY eval ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e300) AS is_best
  FROM (SELECT run, eval, avg(mpjpe) AS score FROM ev GROUP BY ALL)""",
     views=("fx_metrics",),
     ctes=_EVALS,
 )
 def best_checkpoints(spark, sf):
     s = D.mean_score(_evals(spark, sf), ["run"], "eval", "mpjpe")
-    return D.best_so_far(s, ["run"], "eval").select("run", "eval", _r("score").alias("score"), "is_best")
+    return D.best_so_far(s, ["run"], "eval").select("run", "eval", _r("score", 9).alias("score"), "is_best")
 
 
 @query(
@@ -431,12 +431,12 @@ def perf_windows(spark, sf):
 
 @query(
     "stale_tracks",
-    "SELECT track, max(epoch_us(ts)) AS last_us FROM fx_tracks GROUP BY track HAVING max(ts) < TIMESTAMP '2024-01-25 00:00:00' - INTERVAL 6 HOUR",
+    "SELECT track, max(epoch_us(ts)) AS last_us FROM fx_tracks GROUP BY track HAVING max(ts) < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 6 HOUR",
     views=("fx_tracks",),
 )
 def stale_tracks(spark, sf):
     t = fx.tracks(spark, sf).select("track", F.col("ts").cast("timestamp").alias("ts"))
-    d = D.stale(t, "track", "ts", F.lit("2024-01-25 00:00:00").cast("timestamp"))
+    d = D.stale(t, "track", "ts", F.lit("2024-01-31 00:00:00").cast("timestamp"))
     return d.select("track", F.unix_micros("last_seen").alias("last_us"))
 
 
