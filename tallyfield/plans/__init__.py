@@ -11,6 +11,8 @@ MODULES = (
     "geometry",
     "boards",
     "mixtures",
+    "collections",
+    "streams",
 )
 
 

@@ -145,13 +145,15 @@ def runs_loaded(spark, sf):
 
 @query(
     "siblings_filled",
-    """SELECT method, split, file, n FROM (SELECT run AS method, split, 'f' || (step % 4) AS file, count(*) AS n,
-  row_number() OVER (PARTITION BY run, split ORDER BY (step % 4) <> 2, 'f' || (step % 4)) AS rn FROM fx_metrics WHERE step % 29 < 4 GROUP BY run, split, step % 4) WHERE rn = 1""",
+    """SELECT method, split, file, n FROM (SELECT run AS method, split, 'f' || f AS file, count(*) AS n,
+  row_number() OVER (PARTITION BY run, split ORDER BY f <> 2, f) AS rn FROM (SELECT *, (run + step // 4000) % 4 AS f FROM fx_metrics) GROUP BY run, split, f) WHERE rn = 1""",
     views=("fx_metrics",),
 )
 def siblings_filled(spark, sf):
-    m = fx.metrics(spark, sf).where("step % 29 < 4")
-    d = m.select(F.col("run").alias("method"), "split", F.concat(F.lit("f"), (F.col("step") % 4).cast("string")).alias("file"))
+    f = (F.col("run") + F.floor(F.col("step") / 4000)) % 4
+    d = fx.metrics(spark, sf).select(
+        F.col("run").alias("method"), "split", F.concat(F.lit("f"), f.cast("string")).alias("file")
+    )
     out = D.fill_from_siblings(d, "f2")
     return out.groupBy("method", "split", "file").agg(F.count(F.lit(1)).alias("n"))
 

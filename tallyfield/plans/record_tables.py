@@ -312,14 +312,13 @@ def points_in_radius(spark, sf):
 
 @query(
     "label_sources",
-    """SELECT run, string_agg(DISTINCT tag, '+' ORDER BY tag) AS labels FROM (SELECT run, CASE step % 9
-  WHEN 0 THEN 'v2' WHEN 1 THEN 'v1' WHEN 2 THEN 'lhmr' WHEN 3 THEN '?' ELSE 'v2' END AS tag FROM fx_metrics
-  WHERE (step + run) % 3 = 0) GROUP BY run""",
+    """SELECT run, string_agg(DISTINCT tag, '+' ORDER BY tag) AS labels FROM (SELECT run, CASE (run * step) % 9
+  WHEN 0 THEN 'v2' WHEN 1 THEN 'v1' WHEN 2 THEN 'lhmr' WHEN 3 THEN '?' ELSE 'v2' END AS tag FROM fx_metrics) GROUP BY run""",
     views=("fx_metrics",),
 )
 def label_sources(spark, sf):
-    m = fx.metrics(spark, sf).where((F.col("step") + F.col("run")) % 3 == 0)
-    s = F.col("step") % 9
+    m = fx.metrics(spark, sf)
+    s = (F.col("run") * F.col("step")) % 9
     folder = (
         F.when(s == 0, "data/v1_pseudo2").when(s == 1, "data/v1_pseudo").when(s == 2, "data/v1_lidarhmr")
         .when(s == 3, "data/other").otherwise("data/v1_simlidar")

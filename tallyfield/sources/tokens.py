@@ -46,22 +46,23 @@ TOKEN_TABLES = {
 }
 
 
-def read_nusc(spark: SparkSession, root: str, version: str | None = None) -> dict[str, DataFrame]:
+def read_nusc(
+    spark: SparkSession, root: str, version: str | None = None, lines: bool = False
+) -> dict[str, DataFrame]:
     """The nine tables of one version folder; the highest version unless given.
 
-    Each file is one JSON array. A very large file is one task's work, so a dataset of that
-    size should be stored as JSON lines or Parquet first; the joins below do not care.
+    Each file is one JSON array, which one task has to read whole. ``lines`` reads folders of
+    JSON lines of the same names instead, which split; store large collections that way.
     """
     if version is None:
         from tallyfield.sources.tables import latest_version
 
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "sample.json")
-        names = files.option("recursiveFileLookup", "true").load(root).select(
-            F.element_at(F.split("path", "/"), -2).alias("version")
-        )
-        version = latest_version(names.where(F.col("version").startswith("v"))).first()[0]
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        found = F.regexp_extract("path", r"/(v[^/]*)/sample\.json(/|$)", 1)
+        names = files.select(found.alias("version")).where(F.col("version") != "").distinct()
+        version = latest_version(names).first()[0]
     return {
-        name: spark.read.option("multiLine", "true").schema(schema).json(f"{root}/{version}/{name}.json")
+        name: spark.read.option("multiLine", str(not lines).lower()).schema(schema).json(f"{root}/{version}/{name}.json")
         for name, schema in TOKEN_TABLES.items()
     }
 
