@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from tallyfield.functions.vectors import distance
+from tallyfield.functions.vectors import distance, let
 
 MM = 1000.0
 
@@ -29,9 +29,15 @@ COCO_HIPS = (11, 12)
 
 def mean_of(values: Column) -> Column:
     """Mean of an array of doubles, NULL entries skipped, NULL when nothing is left."""
-    kept = F.filter(values, lambda x: x.isNotNull())
-    n = F.size(kept)
-    return F.when(n > 0, F.aggregate(kept, F.lit(0.0), lambda s, x: s + x) / n)
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    return F.aggregate(
+        values,
+        start,
+        lambda a, x: F.when(x.isNull(), a).otherwise(
+            F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n"))
+        ),
+        lambda a: F.when(a["n"] > 0, a["s"] / a["n"]),
+    )
 
 
 def masked(values: Column, valid: Column) -> Column:
@@ -47,18 +53,22 @@ def mpjpe(gt: Column, pred: Column, valid: Column) -> Column:
 
 def mean_joint(joints: Column, valid: Column) -> Column:
     """Mean point of the valid joints (NULL parts when none is valid)."""
-    kept = F.filter(masked(joints, valid), lambda p: p.isNotNull())
 
-    def part(i: int) -> Column:
-        return mean_of(F.transform(kept, lambda p: p[i]))
+    def mean(kept: Column) -> Column:
+        zero = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+        total = F.aggregate(kept, zero, lambda s, p: F.array(*[s[i] + p[i] for i in range(3)]))
+        n = F.size(kept)
+        return F.array(*[F.when(n > 0, total[i] / n) for i in range(3)])
 
-    return F.array(part(0), part(1), part(2))
+    return let(F.filter(masked(joints, valid), lambda p: p.isNotNull()), mean)
 
 
 def centre_joints(joints: Column, valid: Column) -> Column:
     """Joints relative to the mean of the valid ones; unchanged when none is valid."""
-    c = mean_joint(joints, valid)
-    moved = F.transform(joints, lambda p: F.array(*[p[i] - c[i] for i in range(3)]))
+    moved = let(
+        mean_joint(joints, valid),
+        lambda c: F.transform(joints, lambda p: F.array(*[p[i] - c[i] for i in range(3)])),
+    )
     return F.when(F.exists(valid, lambda v: v), moved).otherwise(joints)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.functions.boxes import box_reach, iou3d, iou3d_aligned
+from tallyfield.functions.boxes import box_reach, iou3d
 from tallyfield.operators.ordered import (
     MAX_GROUP_ROWS,
     Ordered,
@@ -129,26 +129,31 @@ def pairwise_iou(
     b: DataFrame,
     on: str,
     ids: tuple[str, str],
-    cell_m: float = 4.0,
+    cell_m: float = 2.0,
     aligned: bool = False,
 ) -> DataFrame:
     """Overlap ratio of all box pairs of a frame that overlap at all (the rest is 0).
 
     Boxes meet on a ground grid: only pairs that touch a common cell are compared, and a pair
     is kept in the one cell that holds the lower corner of its common rectangle, so nothing
-    has to be removed afterwards. Both tables carry ``box`` (7 numbers).
+    has to be removed afterwards. Both tables carry ``box`` (7 numbers); ``aligned`` says that
+    all yaws are 0, then no Python is involved.
     """
 
     def gridded(df: DataFrame, key: str, tag: str) -> DataFrame:
         rx, rz = box_reach(F.col("box"))
+        box = F.col("box")
         flat = df.select(
             on,
             F.col(key).alias(f"_id_{tag}"),
-            F.col("box").alias(f"_box_{tag}"),
-            (F.col("box")[0] - rx).alias(f"_x0_{tag}"),
-            (F.col("box")[0] + rx).alias(f"_x1_{tag}"),
-            (F.col("box")[2] - rz).alias(f"_z0_{tag}"),
-            (F.col("box")[2] + rz).alias(f"_z1_{tag}"),
+            *([] if aligned else [box.alias(f"_box_{tag}")]),
+            (box[0] - rx).alias(f"_x0_{tag}"),
+            (box[0] + rx).alias(f"_x1_{tag}"),
+            (box[1] - box[4] / 2.0).alias(f"_y0_{tag}"),
+            (box[1] + box[4] / 2.0).alias(f"_y1_{tag}"),
+            (box[2] - rz).alias(f"_z0_{tag}"),
+            (box[2] + rz).alias(f"_z1_{tag}"),
+            (box[3] * box[4] * box[5]).alias(f"_vol_{tag}"),
         )
         c = F.col
         return cover(
@@ -158,11 +163,19 @@ def pairwise_iou(
             cell_m,
         )
 
-    both = gridded(a, ids[0], "a").join(gridded(b, ids[1], "b"), [on, "_g0", "_g1"])
-    x0, z0 = F.greatest("_x0_a", "_x0_b"), F.greatest("_z0_a", "_z0_b")
-    touch = (x0 <= F.least("_x1_a", "_x1_b")) & (z0 <= F.least("_z1_a", "_z1_b"))
-    owner = (F.floor(x0 / cell_m) == F.col("_g0")) & (F.floor(z0 / cell_m) == F.col("_g1"))
-    ratio = (iou3d_aligned if aligned else iou3d)(F.col("_box_a"), F.col("_box_b"))
+    # a merge join spreads the pairs over tasks by cell, and skewed cells are split at run time;
+    # a broadcast would leave them to the few tasks that read the boxes
+    cells = gridded(b, ids[1], "b").hint("merge")
+    both = gridded(a, ids[0], "a").join(cells, [on, "_g0", "_g1"])
+    lo = {c: F.greatest(f"_{c}0_a", f"_{c}0_b") for c in "xyz"}
+    hi = {c: F.least(f"_{c}1_a", f"_{c}1_b") for c in "xyz"}
+    touch = (lo["x"] < hi["x"]) & (lo["y"] < hi["y"]) & (lo["z"] < hi["z"])
+    owner = (F.floor(lo["x"] / cell_m) == F.col("_g0")) & (
+        F.floor(lo["z"] / cell_m) == F.col("_g1")
+    )
+    inter = (hi["x"] - lo["x"]) * (hi["y"] - lo["y"]) * (hi["z"] - lo["z"])
+    union = F.col("_vol_a") + F.col("_vol_b") - inter
+    ratio = inter / union if aligned else iou3d("_box_a", "_box_b")
     left, right = (ids[0], ids[1]) if ids[0] != ids[1] else (f"{ids[0]}_a", f"{ids[1]}_b")
     return (
         both.where(touch & owner)

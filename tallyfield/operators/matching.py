@@ -114,7 +114,8 @@ def greedy_match(
     at least the best pair of every frame, so the loop ends, and its result is the same.
     """
     by = list(by)
-    rows = scores.where(F.col("score") >= min_score).select(*by, label, mask, "score")
+    # read for the frame sizes and again for the work
+    rows = checkpoint(scores.where(F.col("score") >= min_score).select(*by, label, mask, "score"))
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.where(F.col("_n") > frame_limit).select(*by)
     schema = StructType([rows.schema[c] for c in [*by, label, mask, "score"]])

@@ -19,6 +19,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfield.session import checkpoint
+
 LEAF_ROWS = 64  # positions per last-level cell the pyramid aims for
 MAX_DEPTH = 16
 STEP = 2  # levels per descent
@@ -128,7 +130,8 @@ def nearest(
 
     names = [f"_c{i}" for i in range(dims)]
     fine = [c.alias(n) for c, n in zip(_cells(coords, origin, size, MAX_DEPTH), names)]
-    pts = pts.select(*by, *coords, "_pid", *fine)
+    # read once per level below
+    pts = checkpoint(pts.select(*by, *coords, "_pid", *fine))
     depth = _depth_needed(pts.select(*by, *names), by, names, leaf)
 
     def level(d: int) -> DataFrame:
