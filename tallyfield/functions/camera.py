@@ -74,7 +74,7 @@ def square_crop(bbox: Column, out_size: float = 256.0, pad: float = 1.2) -> Colu
         ((bbox[0] + bbox[2]) / 2.0 - side / 2.0).alias("x0"),
         ((bbox[1] + bbox[3]) / 2.0 - side / 2.0).alias("y0"),
         side.alias("side"),
-        (F.lit(out_size) / side).alias("scale"),
+        F.try_divide(F.lit(out_size), side).alias("scale"),
     )
 
 

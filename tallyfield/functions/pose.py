@@ -133,7 +133,7 @@ def convention_id(col: Column, known: Sequence[str] = JOINT_CONVENTIONS) -> Colu
 
 def map_joints(joints: Column, to: Sequence[int]) -> Column:
     """Joints picked by an index map; NULL where the map says -1."""
-    return F.array(*[joints[i] if i >= 0 else F.lit(None) for i in to])
+    return F.array(*[F.get(joints, F.lit(i)) if i >= 0 else F.lit(None) for i in to])
 
 
 def comparable(

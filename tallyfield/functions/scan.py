@@ -104,12 +104,12 @@ def motion_distort(
 
 def distance_factor(z: Column, d: Column | float) -> Column:
     """How much sparser a person at depth ``z`` becomes when moved ``d`` metres back."""
-    return (z + d) / z
+    return F.try_divide(z + d, z)
 
 
 def shrink_factor(z: Column, d: Column | float) -> Column:
     """Image scale of an object at depth ``z`` after the camera moved back by ``d``."""
-    return z / (z + d)
+    return F.try_divide(z, z + d)
 
 
 def fourier(c: Column, bands: int) -> Column:

@@ -204,6 +204,7 @@ def quat_to_matrix(q: Column, scalar_last: bool = False) -> Column:
     """Rotation matrix of a quaternion (w, x, y, z), normalised first."""
     w, x, y, z = (q[3], q[0], q[1], q[2]) if scalar_last else (q[0], q[1], q[2], q[3])
     n = F.sqrt(w * w + x * x + y * y + z * z)
+    n = F.when(n > 0, n)
     w, x, y, z = w / n, x / n, y / n, z / n
     return array(
         1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w),

@@ -175,7 +175,7 @@ def pairwise_iou(
     )
     inter = (hi["x"] - lo["x"]) * (hi["y"] - lo["y"]) * (hi["z"] - lo["z"])
     union = F.col("_vol_a") + F.col("_vol_b") - inter
-    ratio = inter / union if aligned else iou3d("_box_a", "_box_b")
+    ratio = F.when(union > 0, inter / union) if aligned else iou3d("_box_a", "_box_b")
     left, right = (ids[0], ids[1]) if ids[0] != ids[1] else (f"{ids[0]}_a", f"{ids[1]}_b")
     return (
         both.where(touch & owner)

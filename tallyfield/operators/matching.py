@@ -152,13 +152,16 @@ def best_camera(corners: Column, cameras: Column, z_min: float = 0.1) -> Column:
     """
 
     def seen(cam: Column) -> Column:
+        def pixel(q: Column) -> Column:
+            z = F.when(q[2] > z_min, q[2])  # NULL behind the camera: the corner is not seen
+            return F.array(
+                F.try_divide(cam["fx"] * q[0], z) + cam["cx"],
+                F.try_divide(cam["fy"] * q[1], z) + cam["cy"],
+                q[2],
+            )
+
         uvz = F.transform(corners, lambda p: V.se3_apply(cam["pose"], p))
-        px = F.transform(
-            uvz,
-            lambda q: F.array(
-                cam["fx"] * q[0] / q[2] + cam["cx"], cam["fy"] * q[1] / q[2] + cam["cy"], q[2]
-            ),
-        )
+        px = F.transform(uvz, pixel)
         ok = F.forall(
             px,
             lambda q: (q[2] > z_min)
@@ -168,7 +171,7 @@ def best_camera(corners: Column, cameras: Column, z_min: float = 0.1) -> Column:
             & (q[1] < cam["height"]),
         )
         vs = F.transform(px, lambda q: q[1])
-        return F.when(ok, F.array_max(vs) - F.array_min(vs))
+        return F.when(F.coalesce(ok, F.lit(False)), F.array_max(vs) - F.array_min(vs))
 
     heights = F.transform(
         cameras, lambda c: F.struct(c["channel"].alias("channel"), seen(c).alias("height"))

@@ -131,9 +131,9 @@ def read_pose_text(spark: SparkSession, path: str, pattern: str = "*.txt") -> Da
     number = F.regexp_extract("_metadata.file_name", r"(\d+)\.[^.]*$", 1)
     return text.select(
         F.col("_metadata.file_path").alias("file"),
-        number.cast("int").alias("frame"),
-        F.transform(words, lambda w: w.cast("double")).alias("pose"),
-    ).where(F.size("pose") == 16)
+        number.try_cast("int").alias("frame"),
+        F.transform(words, lambda w: w.try_cast("double")).alias("pose"),
+    ).where((F.size("pose") == 16) & F.forall("pose", lambda x: x.isNotNull()))
 
 
 _ATTRIBUTE = StructType([StructField("name", StringType()), StructField("val", DoubleType())])
@@ -279,9 +279,9 @@ def motion_configs(df: DataFrame, group: str, json: str) -> DataFrame:
     ranges = F.transform(
         F.coalesce(cfg["hfov_ranges"], F.array().cast("array<array<double>>")),
         lambda r: F.concat(
-            F.bround(r[0]).cast("long").cast("string"),
+            F.bround(F.get(r, 0)).cast("long").cast("string"),
             F.lit("-"),
-            F.bround(r[1]).cast("long").cast("string"),
+            F.bround(F.get(r, 1)).cast("long").cast("string"),
         ),
     )
     unknown = F.lit("?")
