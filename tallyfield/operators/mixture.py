@@ -30,14 +30,11 @@ def batch_count_table(sources: DataFrame, batch: int, world: int = 1) -> DataFra
     """The same for a table (source, weight): adds ``count``; equal weights by source name."""
     total = sources.agg(F.sum("weight").alias("_t"))
     per_rank = batch // world
-    d = sources.join(F.broadcast(total))  # one row
-    d = d.withColumn("_n", F.floor(F.col("weight") / F.col("_t") * per_rank))
-    rest = d.agg(
-        F.sum("_n").alias("_sum"),
-        F.min(F.struct((-F.col("weight")).alias("w"), F.col("source").alias("s"))).alias("_top"),
-    )
-    d = d.join(F.broadcast(rest))  # one row
-    extra = F.when(F.col("source") == F.col("_top.s"), per_rank - F.col("_sum")).otherwise(0)
+    d = sources.withColumn("_n", F.floor(F.col("weight") / total.scalar() * per_rank))
+    used = d.agg(F.sum("_n").alias("_sum")).scalar()
+    first = F.min(F.struct((-F.col("weight")).alias("w"), F.col("source").alias("s")))
+    top = d.agg(first.alias("_top")).select("_top.s").scalar()
+    extra = F.when(F.col("source") == top, per_rank - used).otherwise(0)
     return d.select("source", "weight", (F.col("_n") + extra).cast("long").alias("count"))
 
 
@@ -67,18 +64,31 @@ def mixture(
     """
     draw = draw or hashed()
     indexed = row_index(records, [source], order, limit)
-    sizes = indexed.groupBy(source).agg(F.count(F.lit(1)).alias("_size"))
-    spark = records.sparkSession
-    wanted = [(s, int(c)) for s, c in counts.items() if c > 0]
-    plan = spark.createDataFrame(wanted, "source string, _count int").join(
-        sizes.select(F.col(source).cast("string").alias("source"), "_size"), "source"
+    name = F.col(source).cast("string")
+    sizes = (
+        records.where(name.isin([s for s, c in counts.items() if c > 0]))
+        .groupBy(name.alias("s"))
+        .count()
+        .collect()  # one row per listed source
+    )
+    plan = F.array(
+        *[
+            F.struct(
+                F.lit(r["s"]).alias("source"),
+                F.lit(r["count"]).alias("_size"),
+                F.lit(int(counts[r["s"]])).alias("_count"),
+            )
+            for r in sorted(sizes, key=lambda r: r["s"])
+        ]
     )
     slots = (
-        spark.range(batches)
-        .select(F.col("id").alias("batch"))
-        .join(F.broadcast(plan))  # one row per source
+        records.sparkSession.range(batches)
+        .select(F.col("id").alias("batch"), F.explode(plan).alias("p"))
         .select(
-            "batch", "source", "_size", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("slot")
+            "batch",
+            "p.source",
+            "p._size",
+            F.explode(F.sequence(F.lit(0), F.col("p._count") - 1)).alias("slot"),
         )
     )
     key = F.col("batch") * 100003 + F.col("slot")
@@ -91,12 +101,13 @@ def mixture(
 
 def pool_shares(df: DataFrame) -> DataFrame:
     """Per source its share in the mixture and its share by size (source, weight, records)."""
-    totals = df.agg(F.sum("weight").alias("_w"), F.sum("records").alias("_r"))
-    d = df.join(F.broadcast(totals))  # one row
-    return d.select(
+    def total(col: str) -> Column:
+        return df.agg(F.sum(col)).scalar()
+
+    return df.select(
         "source",
-        (F.col("weight") / F.col("_w")).alias("mixture_share"),
-        (F.col("records") / F.col("_r")).alias("size_share"),
+        (F.col("weight") / total("weight")).alias("mixture_share"),
+        (F.col("records") / total("records")).alias("size_share"),
     )
 
 

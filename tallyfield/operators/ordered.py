@@ -218,7 +218,7 @@ def with_group(df: DataFrame, by: Sequence[str], *aggs: Column, cut: bool = Fals
     join would double the work before it: ``cut`` then writes the small aggregate table.
     """
     if not by:
-        return df.crossJoin(df.agg(*aggs))  # exactly one row on the right
+        raise ValueError("with_group needs at least one key")
     totals = df.groupBy(*by).agg(*aggs)
     if cut:
         totals = checkpoint(totals)

@@ -66,8 +66,8 @@ def join_groups(tables: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
     """Side-by-side join of per-group tables on null-safe keys."""
     out = tables[0]
     for i, t in enumerate(tables[1:]):
-        if not by:
-            out = out.crossJoin(t)  # one row on both sides
+        if not by:  # one row on each side
+            out = out.select("*", *[t.select(c).scalar().alias(c) for c in t.columns])
             continue
         right = t.select(
             *[F.col(b).alias(f"_r{i}_{b}") for b in by], *[c for c in t.columns if c not in by]

@@ -209,7 +209,7 @@ def rows_annotated(spark, sf):
 
 @query(
     "pending_rows",
-    """SELECT n_nationkey AS run, CASE WHEN m.run IS NULL THEN 'queued' ELSE 'has results' END AS state FROM nation
+    """SELECT CAST(n_nationkey AS BIGINT) AS run, CASE WHEN m.run IS NULL THEN 'queued' ELSE 'has results' END AS state FROM nation
  LEFT JOIN (SELECT DISTINCT run FROM fx_metrics) m ON m.run = n_nationkey""",
     views=("fx_metrics",),
 )
@@ -385,7 +385,7 @@ def run_names(spark, sf):
     base = F.when(k % 3 == 0, "abl-x").when(k % 3 == 1, "a-abl-mix").otherwise("b-ratio-s1")
     runs = fx.table(spark, sf, "nation").select(F.format_string("%s-%03d", base, k).alias("run"))
     nxt = X.next_run_name(runs, "a-abl-mix").withColumnRenamed("run", "next_name")
-    return runs.select("run", X.config_of(F.col("run")).alias("config")).crossJoin(F.broadcast(nxt))  # one row
+    return runs.select("run", X.config_of(F.col("run")).alias("config"), nxt.scalar().alias("next_name"))
 
 
 @query(

@@ -325,9 +325,9 @@ def box_error_terms(spark, sf):
 
 @query(
     "box_choice_and_scale",
-    """SELECT rec, CASE WHEN frame % 2 = 0 THEN round(dx*1.39, 5) ELSE dx END AS dx,
-  CASE WHEN frame % 2 = 0 THEN round(dy*1.05, 5) ELSE dy END AS dy,
-  CASE WHEN frame % 2 = 0 THEN round(dz*1.45, 5) ELSE dz END AS dz FROM fx_boxes""",
+    """SELECT rec, CASE WHEN frame % 2 = 0 THEN round(dx*1.39, 5) ELSE round(dx, 5) END AS dx,
+  CASE WHEN frame % 2 = 0 THEN round(dy*1.05, 5) ELSE round(dy, 5) END AS dy,
+  CASE WHEN frame % 2 = 0 THEN round(dz*1.45, 5) ELSE round(dz, 5) END AS dz FROM fx_boxes""",
     views=("fx_boxes",),
 )
 def box_choice_and_scale(spark, sf):

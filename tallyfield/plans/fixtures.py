@@ -174,8 +174,8 @@ FROM fx_joints g JOIN fx_pred p ON p.rec = g.rec AND p.joint = g.joint""",
     ),
     "fx_points": (
         (),
-        """SELECT l_suppkey AS cloud, l_orderkey AS rec, l_linenumber AS channel,
-  l_partkey % 512 AS col, (l_orderkey * 10 + l_linenumber) * 10000000000
+        """SELECT l_suppkey AS cloud, l_orderkey AS rec, CAST(l_linenumber AS BIGINT) AS channel,
+  CAST(l_partkey % 512 AS BIGINT) AS col, (l_orderkey * 10 + l_linenumber) * 10000000000
     + CAST(round(l_extendedprice * 100) AS BIGINT) AS idx,
   (l_partkey % 200 - 100) / 10.0E0 AS x, (l_orderkey % 40 - 20) / 10.0E0 AS y,
   CAST(1 + l_quantity AS DOUBLE) AS z FROM lineitem""",

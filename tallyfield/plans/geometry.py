@@ -208,7 +208,7 @@ def box_corners(spark, sf):
 
 @query(
     "boxes_in_camera",
-    """SELECT rec, round(-cy, 5) AS x, round(-cz, 5) AS y, round(cx, 5) AS z, dy AS dx, dz AS dy, dx AS dz,
+    """SELECT rec, round(-cy, 5) AS x, round(-cz, 5) AS y, round(cx, 5) AS z, round(dy, 5) AS dx, round(dz, 5) AS dy, round(dx, 5) AS dz,
   round(atan2(cos(score), -sin(score)), 5) AS yaw FROM fx_boxes""",
     views=("fx_boxes",),
 )

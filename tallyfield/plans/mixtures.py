@@ -37,7 +37,7 @@ def batch_counts(spark, sf):
 
 @query(
     "mixture_batches",
-    f"""SELECT batch, ds, slot, rec FROM (SELECT b.batch, s.ds, t.slot, CAST(floor(({linear_sql('mixture', '(b.batch * 100003 + t.slot)', 3)}) * z.n) AS BIGINT) AS row
+    f"""SELECT batch, CAST(ds AS BIGINT) AS ds, slot, rec FROM (SELECT b.batch, s.ds, t.slot, CAST(floor(({linear_sql('mixture', '(b.batch * 100003 + t.slot)', 3)}) * z.n) AS BIGINT) AS row
  FROM (SELECT range AS batch FROM range(40)) b CROSS JOIN (VALUES (0, 32), (1, 20), (2, 12)) AS s(ds, k) CROSS JOIN (SELECT range AS slot FROM range(32)) t
  JOIN (SELECT ds, count(*) AS n FROM fx_records GROUP BY ds) z ON z.ds = s.ds WHERE t.slot < s.k) d
  JOIN (SELECT ds, rec, row_number() OVER (PARTITION BY ds ORDER BY rec) - 1 AS row FROM fx_records) r USING (ds, row)""",
@@ -53,15 +53,15 @@ def mixture_batches(spark, sf):
 
 @query(
     "mixture_shares",
-    "SELECT ds, count(*) AS n, round(count(*) / 4000.0, 6) AS share FROM fx_records WHERE ds < 0 GROUP BY ds"
-    " UNION ALL SELECT * FROM (VALUES (0, 2000, 0.5E0), (1, 1250, 0.3125E0), (2, 750, 0.1875E0)) t(ds, n, share)",
+    """SELECT ds, CAST(25 * k AS BIGINT) AS n, round(25 * k / 4000.0E0, 6) AS share FROM (SELECT ds, count(*) AS n FROM fx_records GROUP BY ds)
+ JOIN (VALUES (0, 80), (1, 50), (2, 30)) AS t(ds, k) USING (ds)""",
     views=("fx_records",),
 )
 def mixture_shares(spark, sf):
     counts = dict(zip(("0", "1", "2"), M.batch_counts([0.5, 0.3125, 0.1875], 160)))
     d = M.mixture(fx.records(spark, sf), counts, 25, source="ds", order=["rec"], draw=hashed(1))
     n = d.groupBy("ds").agg(F.count(F.lit(1)).alias("n"))
-    return n.select(F.col("ds").cast("int").alias("ds"), F.col("n").cast("int").alias("n"), _r(F.col("n") / 4000, 6).alias("share"))
+    return n.select("ds", "n", _r(F.col("n") / 4000, 6).alias("share"))
 
 
 @query(

@@ -98,12 +98,12 @@ def stream_perf_windows(spark, sf):
 
 @query(
     "stream_perf_by_time",
-    """SELECT user_id % 12 AS run, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, count(*) AS n, round(avg(value), 5) AS step_s FROM events GROUP BY ALL""",
+    """SELECT user_id % 12 AS run, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, count(*) AS n, round(avg(value), 9) AS step_s FROM events GROUP BY ALL""",
 )
 def stream_perf_by_time(spark, sf):
     d = G.perf_time_windows(_events(spark, sf), "run", "ts", "mpjpe", "1 day")
     got = G.run_available(d, "complete")
-    return got.select("run", F.unix_micros("start").alias("start_us"), "n", _r("step_s", 5).alias("step_s"))
+    return got.select("run", F.unix_micros("start").alias("start_us"), "n", _r("step_s", 9).alias("step_s"))
 
 
 @query(

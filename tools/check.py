@@ -22,11 +22,11 @@ def canon(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "NaN"
-        return f"{v:.6g}" if v != 0 else "0"
+        return repr(v + 0.0)
     if isinstance(v, bool) or v is None:
         return str(v)
     if isinstance(v, int):
-        return f"{float(v):.6g}" if False else str(v)
+        return str(v)
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(canon(x) for x in v) + "]"
     return str(v)
