@@ -74,7 +74,7 @@ def fill_derived(df: DataFrame, derived: DataFrame, on: str = "key") -> DataFram
 
 # fixed values: gates and confidence widths of fitted labels (metres, prior energy)
 MAX_KEYPOINT_M, MAX_CHAMFER_M, MAX_PRIOR = 0.08, 0.06, 6.0
-KEYPOINT_SIGMA_M, CHAMFER_SIGMA_M = 0.05, 0.05
+KEYPOINT_SIGMA_M, CHAMFER_SIGMA_M = 0.05, 0.04
 
 
 def label_confidence(

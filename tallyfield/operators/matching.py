@@ -253,6 +253,7 @@ def build_index(labels: DataFrame, keys: DataFrame, key: str = "key") -> DataFra
 # fixed value: track axes to vehicle axes, as source index per target axis (x, y, z <- z, x, y)
 TRACK_AXES = ((2, 1), (0, 1), (1, 1))
 EGO_CHECK_FRAMES = 12
+EGO_TOLERANCE_M = 0.05  # fixed value: a track may miss the scene poses by less than this
 
 
 def ego_residual(
@@ -282,3 +283,8 @@ def ego_residual(
     theirs = V.remap_axes(F.col("ego"), TRACK_AXES)
     off = F.greatest(*[F.abs(theirs[i] - wanted[i]) for i in range(3)])
     return d.groupBy(track, scene).agg(F.max(off).alias("residual"))
+
+
+def consistent_tracks(residuals: DataFrame, tolerance: float = EGO_TOLERANCE_M) -> DataFrame:
+    """Tracks whose own motion agrees with the scene poses."""
+    return residuals.where(F.col("residual") < tolerance)

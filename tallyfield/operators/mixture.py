@@ -218,7 +218,7 @@ SCAN_VARIANTS = (
 def scan_plan(
     frames: DataFrame,
     key: str,
-    channels: Sequence[int] = (32, 64, 128),
+    channels: Sequence[int] = (32, 64, 128, 256),
     steps: Sequence[int] = (512, 1024, 2048),
     family: str = "OS1",
     n_main: int = 2,

@@ -409,7 +409,7 @@ def derived_filled(spark, sf):
 _GATE = """g AS (SELECT rec, ds, CASE WHEN rec % 31 = 0 THEN NULL ELSE (rec % 97) / 1000.0E0 END AS kp,
   CASE WHEN rec % 37 = 0 THEN NULL ELSE (rec % 89) / 1000.0E0 END AS ch, (rec % 80) / 10.0E0 AS en FROM fx_records),
 c AS (SELECT *, coalesce(kp <= 0.08 AND ch <= 0.06 AND en <= 6.0, false) AS ok,
-  CASE WHEN coalesce(kp <= 0.08 AND ch <= 0.06 AND en <= 6.0, false) THEN exp(-pow(kp/0.05, 2))*exp(-pow(least(ch,1)/0.05, 2)) ELSE 0 END AS conf FROM g)"""
+  CASE WHEN coalesce(kp <= 0.08 AND ch <= 0.06 AND en <= 6.0, false) THEN exp(-pow(kp/0.05, 2))*exp(-pow(least(ch,1)/0.04, 2)) ELSE 0 END AS conf FROM g)"""
 
 
 def _gated(spark, sf):

@@ -313,7 +313,7 @@ def speeds_sampled(spark, sf):
 
 @query(
     "scan_plans",
-    f"""SELECT rec, variant, CASE variant WHEN 'target_waymo' THEN 'waymo64' WHEN 'check' THEN 'OS1-64-1024' ELSE 'OS1-' || CASE CAST(floor(3*({linear_sql('channels', 'rec', 15)})) AS INT) WHEN 0 THEN 32 WHEN 1 THEN 64 ELSE 128 END
+    f"""SELECT rec, variant, CASE variant WHEN 'target_waymo' THEN 'waymo64' WHEN 'check' THEN 'OS1-64-1024' ELSE 'OS1-' || CASE CAST(floor(4*({linear_sql('channels', 'rec', 15)})) AS INT) WHEN 0 THEN 32 WHEN 1 THEN 64 WHEN 2 THEN 128 ELSE 256 END
   || '-' || CASE CAST(floor(3*({linear_sql('steps', 'rec', 15)})) AS INT) WHEN 0 THEN 512 WHEN 1 THEN 1024 ELSE 2048 END END AS sensor, true AS inside
  FROM fx_boxes CROSS JOIN (VALUES ('main_0'), ('main_1'), ('ball025'), ('target_waymo'), ('check')) AS v(variant)""",
     views=("fx_boxes",),
