@@ -98,9 +98,11 @@ class Ordered:
             df = checkpoint(ranged.withColumn("_part", F.spark_partition_id()))
         self.df = df
 
+    def _keys(self) -> list:
+        return ([*self.by, "_part"] if self.split else self.by) or [F.lit(0)]
+
     def _window(self):
-        keys = [*self.by, "_part"] if self.split else self.by
-        return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*self.order)
+        return Window.partitionBy(*self._keys()).orderBy(*self.order)
 
     def _local(self, op: Running) -> Column:
         w = self._window()
@@ -116,7 +118,10 @@ class Ordered:
         if op.kind == "min_before":
             return F.min(op.col).over(w.rowsBetween(Window.unboundedPreceding, -1))
         if op.kind == "max_after":
-            return F.max(op.col).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+            # a running maximum in reverse order: frames that end at the last row are
+            # evaluated anew for every row
+            back = Window.partitionBy(*self._keys()).orderBy(F.col("_back").desc())
+            return F.max(op.col).over(back.rowsBetween(Window.unboundedPreceding, 0))
         if op.kind == "lag":
             return F.lag(op.col).over(w)
         if op.kind == "ffill":
@@ -178,8 +183,12 @@ class Ordered:
 
     def add(self, **ops: Running) -> Ordered:
         """Add running values as columns; later calls may build on earlier columns."""
+        before = self.df.columns
+        if any(op.kind == "max_after" for op in ops.values()):
+            self.df = self.df.withColumn("_back", F.row_number().over(self._window()))
         if not self.split:
-            self.df = self.df.select("*", *[self._local(op).alias(n) for n, op in ops.items()])
+            added = [self._local(op).alias(n) for n, op in ops.items()]
+            self.df = self.df.select("*", *added).drop("_back")
             return self
         local = self.df.select(
             "*",
@@ -197,7 +206,7 @@ class Ordered:
         on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
         joined = local.join(carry, on, "left")
         self.df = joined.select(
-            *self.df.columns,
+            *before,
             *[
                 self._merge(op, F.col(f"_own_{n}"), F.col(f"_in_{n}")).alias(n)
                 for n, op in ops.items()
