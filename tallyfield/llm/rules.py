@@ -65,13 +65,6 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     d = docs.select(F.col(key).alias("_key"), whole(text).alias("_text"))
     d = d.select("*", words("_text").alias("_words"))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD))
-    starts = F.when(
-        F.size("_words") >= WINDOW,
-        F.transform(
-            F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)),
-            lambda i: F.xxhash64(F.slice(F.col("_words"), i, WINDOW)),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
     d = d.select(
         "_key",
         F.size("_words").cast("long").alias("n_words"),
@@ -79,8 +72,13 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace("_text", r"\P{L}+", "")).cast("long").alias("n_letters"),
         lines.alias("_lines"),
-        starts.alias("_starts"),
+        F.transform("_words", lambda w: F.xxhash64(w)).alias("_starts"),
     )
+    # hashes of 1, 2, 4, then 8 words from each place on
+    for step in (1, 2, 4):
+        d = d.withColumn("_starts", F.transform("_starts", lambda h, i: F.xxhash64(h, F.get("_starts", i + step))))
+    whole_windows = F.greatest(F.size("_starts") - (WINDOW - 1), F.lit(0))
+    d = d.withColumn("_starts", F.slice("_starts", 1, whole_windows))
     d = d.select(
         *[c for c in d.columns if c not in ("_lines", "_starts")],
         F.size("_lines").cast("long").alias("n_lines"),
