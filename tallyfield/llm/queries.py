@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import rules
+from tallyfield.llm import mixing, ring, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,3 +84,21 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "failed_bits", "base_failed", "kept",
     )
+
+
+@query("op5_mixing")
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words each document gives to a mix of sources weighted 5, 2, 1 in turn."""
+    m = mixing.mixed(table(spark, sf_dir, "documents"), (5, 2, 1))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return m.select("doc_id", "size", "source_size", "target", taken, "copies")
+
+
+@query("op6_sharding")
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and place of every document; row counts of the 8 shards differ by one at most."""
+    p = ring.placed(table(spark, sf_dir, "documents"), 8)
+    law = F.lit("rows").alias("law")
+    return p.select(
+        "doc_id", "size", "text_crc32", law, "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
