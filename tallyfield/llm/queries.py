@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import mixing, ring, rules
+from tallyfield.llm import lm, mixing, ring, rules, tokens
+from tallyfield.llm.text import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,3 +103,18 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(
         "doc_id", "size", "text_crc32", law, "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op3_lm_scores")
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model and base score of every document, learned from four fifths of them."""
+    return lm.scored(table(spark, sf_dir, "documents"), fold("doc_id", 5))
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it has more than 512 tokens."""
+    import public_tokenizers
+
+    n = tokens.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return n.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
