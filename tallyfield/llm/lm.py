@@ -79,12 +79,18 @@ def _encode(order: int, parts: int):
             streams = []
             for text in texts:
                 # lower() and split() of bytes know ASCII alone: A-Z, and the six white characters
-                streams.append(np.array([seen[w] for w in text.encode().lower().split()] + [-1], np.int64))
+                streams.append(np.array([seen[w] for w in text.encode().lower().split()] + [-1], np.int32))
             texts.clear()
             lengths = np.array([len(s) for s in streams], np.uint32)
             numbers = np.concatenate(streams)
+            streams.clear()
             numbers[numbers < 0] = len(seen)
             hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in seen), np.uint64, len(seen))
+            # frequent words get small numbers, which take few bytes
+            often = np.argsort(-np.bincount(numbers, minlength=len(seen) + 1)[:-1], kind="stable")
+            rank = np.empty(len(seen) + 1, np.int32)
+            rank[often], rank[-1] = np.arange(len(seen), dtype=np.int32), len(seen)
+            numbers, hashes = rank[numbers], hashes[often]
             words, starts = _stream(numbers, hashes, lengths)
             learned = np.repeat(~np.array(held, bool), lengths)
             rows = [(bundle, 0, -1, ids(keys), pack(np.array(held, np.uint8)), pack(lengths), pack(numbers.astype(np.uint32)), pack(hashes))]

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 
-BUNDLE_CHARS = 12_000_000  # texts of one bundle; one longer text is a bundle of its own
+BUNDLE_CHARS = 32_000_000  # texts of one bundle; one longer text is a bundle of its own
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -65,3 +65,19 @@ def ranges(hashes: np.ndarray, parts: int) -> np.ndarray:
 def ids(values: Iterable) -> list[int | None]:
     """Integer ids as Python values, null as None."""
     return [None if v is None or v != v else int(v) for v in values]
+
+
+def pack_texts(texts: list[str]) -> bytes:
+    """Strings as bytes: their lengths, then all of them."""
+    raw = [t.encode() for t in texts]
+    sizes, body = pack(np.array([len(r) for r in raw], np.uint32)), b"".join(raw)
+    return f"{len(sizes)},{len(body)};".encode() + sizes + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unpack_texts(data: bytes) -> list[str]:
+    """The strings of :func:`pack_texts`."""
+    head, _, rest = bytes(data).partition(b";")
+    n, size = map(int, head.split(b","))
+    body = pa.decompress(rest[n:], decompressed_size=size, codec="zstd", asbytes=True)
+    ends = np.cumsum(unpack(rest[:n]).astype(np.int64)).tolist()
+    return [body[a:b].decode() for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.packed import bundles, ids, pack, ranges, unpack
+from tallyfield.llm.packed import bundles, ids, pack, pack_texts, ranges, unpack, unpack_texts
 from tallyfield.session import checkpoint
 
 # Fixed value: the pre-token pattern of the byte-level files.
@@ -32,7 +32,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PLAIN = r"[\t\n\r\x20-\x7E¡-ɏ‐-‟…]*"
 ONCE = 2_000  # pre-tokens given to the library at a time
 
-_TABLE = "bundle long, part int, ids array<long>, bytes binary, extra binary, sizes binary, a binary, b binary, pieces array<string>"
+_TABLE = "bundle long, part int, ids array<long>, bytes binary, extra binary, sizes binary, a binary, b binary, pieces binary"
 _ANSWER = "bundle long, part int, a binary, b binary"
 
 
@@ -109,7 +109,7 @@ def _encode(path: str, parts: int):
             rows = [first]
             for p in np.flatnonzero(np.diff(cuts)):
                 at = order[cuts[p] : cuts[p + 1]]
-                rows.append((bundle, int(p), None, None, None, None, pack(at.astype(np.uint32)), None, distinct[at].tolist()))
+                rows.append((bundle, int(p), None, None, None, None, pack(at.astype(np.uint32)), None, pack_texts(distinct[at].tolist())))
             columns = ["bundle", "part", "ids", "bytes", "extra", "sizes", "a", "b", "pieces"]
             for i in range(0, len(rows), 64):
                 yield pd.DataFrame(rows[i : i + 64], columns=columns)
@@ -122,12 +122,13 @@ def _count(path: str):
         """Pieces of the pre-tokens of one hash range, each encoded once, for every bundle."""
         made, _ = _library(path)
         made.encode_special_tokens = True  # what is left of them was split, so it is ordinary text
-        distinct = list({p for pieces in blocks["pieces"] for p in pieces})
+        asked = [unpack_texts(x) for x in blocks["pieces"]]
+        distinct = list({p for pieces in asked for p in pieces})
         n: dict[str, int] = {}
         for i in range(0, len(distinct), ONCE):
             some = distinct[i : i + ONCE]
             n.update(zip(some, (len(e.ids) for e in made.encode_batch(some, add_special_tokens=False)), strict=True))
-        counts = [pack(np.array([n[p] for p in pieces], np.uint32)) for pieces in blocks["pieces"]]
+        counts = [pack(np.array([n[p] for p in pieces], np.uint32)) for pieces in asked]
         return pd.DataFrame({"bundle": blocks["bundle"], "part": blocks["part"], "a": blocks["a"], "b": counts})
 
     return run
