@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import lm, mixing, ring, rules, tokens
+from tallyfield.llm import decontam, jaccard, lm, mixing, ring, rules, tokens
 from tallyfield.llm.text import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     n = tokens.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return n.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query("op1_jaccard_join")
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies and number of links of every document, at 0.8 on five words."""
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with up to 5 % edits."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
