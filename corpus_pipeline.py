@@ -1,11 +1,90 @@
-"""The corpus pipeline: quality rules, near duplicates, decontamination, mixing, sharding."""
+"""The corpus pipeline: quality rules, near duplicates, decontamination, mixing, sharding.
+
+Each stage takes (spark, documents, table folder) and works on every row it is given; all but the
+last return the columns of the documents as they came, whatever they are. Null ids, null and empty
+texts, repeated rows and empty tables are allowed in every stage; what each means is in the docstring.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from collections.abc import Callable
+
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import tallyfield
+from tallyfield.llm import decontam, jaccard, mixing, ring, rules
+from tallyfield.llm.text import drop_ids, keep_ids
+from tallyfield.session import scratch_path
+
+# Python workers need not have the package on their path: its functions travel with the task
+cloudpickle.register_pickle_by_value(tallyfield)
+
+SHARDS = 8
+WEIGHTS = (5, 2, 1)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail no quality rule. Null and blank texts fail; equal rows go or stay together."""
+    whole_rows = docs.select(F.struct("*").alias("_all"), F.col("text"))
+    return rules.judged(whole_rows, key="_all").where("kept").select("_all.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest id.
+
+    Of rows that repeat an id one stays. Rows with a null id or without words are nobody's copy.
+    """
+    joined = jaccard.joined(docs)
+    left = drop_ids(docs, joined.where("doc_id <> class_id"))
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    once = drop_ids(left, twice)
+    return once.unionByName(keep_ids(left, twice).dropDuplicates(["doc_id"]))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, not even with a few edits.
+
+    A null or empty text holds none. A row with a null id stays only if no such row holds an item.
+    """
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return drop_ids(docs, decontam.leaks(docs, items))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as its source's target asks for, none to three.
+
+    Rows that share an id, null included, get equally many copies. Blank texts weigh nothing.
+    """
+    copies = mixing.mixed(docs, WEIGHTS).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    copies = copies.where("_copies > 0").withColumnRenamed("doc_id", "_id")
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+    return taken.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*[docs[c] for c in docs.columns])
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and place of every row: doc_id, size, text_crc32, shard, slot. Copies are rows of their own."""
+    return ring.placed(docs, SHARDS)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality),
+    ("jaccard_join", near_duplicates),
+    ("decontamination", decontaminated),
+    ("mixing", mixture),
+    ("sharding", shards),
+]
+
+# MinHash, edit distance and ring hashes have no SQL text; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages, one after the other, on ``documents``."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; each one's rows are written and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

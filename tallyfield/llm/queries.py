@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import decontam, jaccard, lm, mixing, ring, rules, tokens
+from tallyfield.llm import decontam, jaccard, langid, lm, mixing, ring, rules, tokens
 from tallyfield.llm.text import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +130,9 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with up to 5 % edits."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    return langid.identified(table(spark, sf_dir, "documents"), fold("doc_id", 3))

@@ -120,11 +120,16 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         F.lit(0).cast("long"),
         lambda acc, x: acc + x,
     )
-    d = d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
-    return d.select(F.col("_key").alias(key), *MEASURES)
+    d = d.withColumn("_covered", F.coalesce(covered, F.lit(0).cast("long")))
+    # A filter on a measurement would be moved below all steps, with each step written out wherever
+    # it is read: too large to plan. It can't pass a row number that it needs.
+    d = d.withColumn("_row", F.monotonically_increasing_id())
+    d = d.withColumn("n_repeat_words", F.when(F.col("_row") >= 0, F.col("_covered")))
+    first = F.when(F.col("_row") >= 0, F.col("n_words")).alias("n_words")
+    return d.select(F.col("_key").alias(key), first, *MEASURES[1:])
 
 
-def ledger(measures: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id") -> DataFrame:
+def ledger(measures: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The measurements and ``failed_bits``: bit b is set if the rule of bit b failed."""
     if len({r.bit for r in rules}) < len(rules) or not all(0 <= r.bit < 63 for r in rules):
         raise ValueError("rules need different bits from 0 to 62")
@@ -170,8 +175,13 @@ def ablations(led: DataFrame, policy: Policy, rules: Sequence[Rule] = RULES) ->
     )
 
 
-def judged(docs: DataFrame, policy: Policy = WEB, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The ledger with ``base_failed`` and ``kept``, false where base or the policy rejects."""
-    led = ledger(measured(docs), rules)
+def judged(
+    docs: DataFrame, policy: Policy = WEB, rules: Sequence[Rule] = RULES, key: str = "doc_id"
+) -> DataFrame:
+    """The ledger with ``base_failed`` and ``kept``, false where base or the policy rejects.
+
+    The key may be any column, also a struct of a whole row.
+    """
+    led = ledger(measured(docs, key), rules)
     base = rejects(BASE, rules)
     return led.select("*", base.alias("base_failed"), (~base & ~rejects(policy, rules)).alias("kept"))
