@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import decontam, jaccard, langid, lm, mixing, ring, rules, tokens
+from tallyfield.llm import chat, decontam, jaccard, langid, lm, mixing, ring, rules, tokens, warc
 from tallyfield.llm.text import fold
+from tallyfield.session import checkpoint
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,7 +52,7 @@ _cov AS (
   GROUP BY doc_id),
 _lines AS (
   SELECT doc_id, list_filter(string_split(t, chr(10)),
-                             x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM _w),
+                             lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM _w),
 _m AS (
   SELECT _w.doc_id, len(ws)::BIGINT AS n_words,
          length(array_to_string(ws, ''))::BIGINT AS word_chars,
@@ -136,3 +137,44 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from two thirds of them."""
     return langid.identified(table(spark, sf_dir, "documents"), fold("doc_id", 3))
+
+
+@query(
+    "op8_chat_format",
+    r"""WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(16 + 2 * length(role) - length(regexp_replace(role, '[\\<>]', '', 'g'))
+      + 2 * length(text) - length(regexp_replace(text, '[\\<>]', '', 'g')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id""",
+)
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checksums of every conversation, read back from its rendered text and loss spans."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    more = spark.range(2).select(
+        F.lit(-7).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), said
+    )
+    formatted = checkpoint(chat.rendered(chat.folded(chat.log_of(rows.union(more)))))
+    return chat.digests(chat.read_back(formatted), formatted)
+
+
+@query(
+    "op10_warc",
+    """WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+l AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < last THEN last END AS refers_to
+FROM p LEFT JOIN l USING (payload_digest)""",
+)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, looked up in the index and read from the archives just written."""
+    archive = warc.Archive(table(spark, sf_dir, "pages"))
+    return archive.lookup(archive.captures)
