@@ -104,7 +104,7 @@ def subsample(
 ) -> DataFrame:
     """A random share of each cloud: max(1, round(n * frac)) points."""
     draw = draw or hashed()
-    d = df.withColumn("_u", draw("subsample", F.col(idx)))
+    d = df.withColumn("_u", draw("subsample", F.col(idx), F.col(cloud)))
     d = Ordered(d, [cloud], ["_u", idx], limit).add(_rn=row_number(), _n=group_total()).result()
     f = frac if isinstance(frac, Column) else F.lit(float(frac))
     k = F.greatest(F.lit(1), F.rint(F.col("_n") * f))
@@ -121,7 +121,7 @@ def sample_points(
     """
     draw = draw or hashed()
     w = Window.partitionBy(cloud).orderBy("_u", idx)
-    d = df.withColumn("_u", draw("sample", F.col(idx))).withColumn("_rn", F.row_number().over(w))
+    d = df.withColumn("_u", draw("sample", F.col(idx), F.col(cloud))).withColumn("_rn", F.row_number().over(w))
     kept = d.where(F.col("_rn") <= n)
     sized = with_group(kept, [cloud], F.count(F.lit(1)).alias("_m"))
     # row r of a cloud of m < n points also fills the slots r + m, r + 2 m, ...
@@ -130,21 +130,30 @@ def sample_points(
     return _clean(out.withColumn("slot", F.col("slot").cast("long")))
 
 
-def jitter(df: DataFrame, idx: str, std: Column | float, draw: Draw | None = None) -> DataFrame:
-    """Gaussian noise on every coordinate."""
+def jitter(
+    df: DataFrame, idx: str, std: Column | float, draw: Draw | None = None, cloud: str | None = None
+) -> DataFrame:
+    """Gaussian noise on every coordinate; name ``cloud`` where ``idx`` restarts in each cloud."""
     draw = draw or hashed()
+    keys = [F.col(c) for c in (idx, cloud) if c is not None]
     s = std if isinstance(std, Column) else F.lit(float(std))
-    return df.withColumns({a: F.col(a) + normal(draw, f"jitter.{a}", F.col(idx)) * s for a in AXES})
+    return df.withColumns({a: F.col(a) + normal(draw, f"jitter.{a}", *keys) * s for a in AXES})
 
 
 def range_jitter(
-    df: DataFrame, idx: str, origin: Sequence[float], std: float, draw: Draw | None = None
+    df: DataFrame,
+    idx: str,
+    origin: Sequence[float],
+    std: float,
+    draw: Draw | None = None,
+    cloud: str | None = None,
 ) -> DataFrame:
-    """Gaussian noise along the ray from the sensor."""
+    """Gaussian noise along the ray from the sensor; ``cloud`` as in :func:`jitter`."""
     draw = draw or hashed()
+    keys = [F.col(c) for c in (idx, cloud) if c is not None]
     off = [F.col(a) - o for a, o in zip(AXES, origin)]
     r = F.greatest(F.sqrt(V.total([o * o for o in off])), F.lit(1e-6))
-    noise = normal(draw, "range", F.col(idx)) * std
+    noise = normal(draw, "range", *keys) * std
     return df.withColumns({a: F.col(a) + o / r * noise for a, o in zip(AXES, off)})
 
 
@@ -212,7 +221,7 @@ def occlude(
         low = [F.min(F.when(kept, F.col(a))).alias(f"_lo{tag}_{a}") for a in axes]
         return low + [F.max(F.when(kept, F.col(a))).alias(f"_hi{tag}_{a}") for a in axes]
 
-    pickable = F.struct(draw("anchor", F.col(idx)).alias("u"), F.col(idx).alias("i"))
+    pickable = F.struct(draw("anchor", F.col(idx), F.col(cloud)).alias("u"), F.col(idx).alias("i"))
     d = with_group(
         df,
         [cloud],
@@ -265,7 +274,7 @@ def occlude(
     kept = F.when(F.col("_n3") >= few, F.col("_k3")).otherwise(F.col("_e2"))
     d = d.where(kept).select(*cols, "_n0")
 
-    d = d.withColumn("_u", draw("subsample", F.col(idx)))
+    d = d.withColumn("_u", draw("subsample", F.col(idx), F.col(cloud)))
     d = Ordered(d, [cloud], ["_u", idx], limit).add(_rn=row_number(), _n=group_total()).result()
     k = F.greatest(F.lit(1), F.rint(F.col("_n") * between(draw, "share", *cfg.subsample_keep, c)))
     use = big & (draw("thin", c) < cfg.p_subsample) & (k >= few)
@@ -365,7 +374,7 @@ def augment_points(
             draw,
             draw("channel_loss", c) < cfg.p_channel_dropout,
         )
-    d = jitter(d, idx, between(draw, "jitter_std", *cfg.jitter_std_m, c), draw)
+    d = jitter(d, idx, between(draw, "jitter_std", *cfg.jitter_std_m, c), draw, cloud)
     return add_outliers(
         d,
         cloud,

@@ -99,13 +99,18 @@ def average_precision(
 ) -> DataFrame:
     """All-point average precision per group: one column ``ap_<threshold>`` each, and ``map``.
 
-    Rows are ranked once by score (equal scores by key) for all thresholds.
+    Rows are ranked once by score (equal scores by key) for all thresholds. A missing overlap is
+    a miss and a missing score ranks last; NaN is missing.
     """
     names = {t: f"ap_{int(round(t * 100))}" for t in thresholds}
+    overlap = F.coalesce(no_nan(F.col(iou).cast("double")), F.lit(0.0))
     flags = df.select(
-        *by, key, score, *[(F.col(iou) >= t).cast("int").alias(n) for t, n in names.items()]
+        *by,
+        key,
+        no_nan(F.col(score).cast("double")).alias(score),
+        *[(overlap >= t).cast("int").alias(n) for t, n in names.items()],
     )
-    ranked = Ordered(flags, by, [F.col(score).desc(), F.col(key)], limit)
+    ranked = Ordered(flags, by, [F.col(score).desc_nulls_last(), F.col(key)], limit)
     ranked.add(
         _rn=row_number(),
         _n=group_total(),

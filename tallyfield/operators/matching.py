@@ -13,6 +13,7 @@ from tallyfield.functions import vectors as V
 from tallyfield.operators.ordered import MAX_GROUP_ROWS
 from tallyfield.operators.sequences import on_grid
 from tallyfield.operators.spatial import nearest
+from tallyfield.operators.quantiles import no_nan
 from tallyfield.session import checkpoint
 
 MAX_FRAME_PAIRS = 100_000  # score rows of one frame a single task may sort
@@ -108,6 +109,8 @@ def greedy_match(
 ) -> DataFrame:
     """One-to-one assignment by descending score; equal scores by label, then mask.
 
+    Pairs without a label, a mask or a score (null or NaN) are never assigned.
+
     Frames of a bounded size are worked through one per task. Larger ones go in rounds: a
     pair that is the best one left for both its label and its mask is what the greedy order
     would take, so all such pairs are taken at once and their rows removed. Each round takes
@@ -115,7 +118,8 @@ def greedy_match(
     """
     by = list(by)
     # read for the frame sizes and again for the work
-    rows = checkpoint(scores.where(F.col("score") >= min_score).select(*by, label, mask, "score"))
+    usable = (no_nan(F.col("score")) >= min_score) & F.col(label).isNotNull() & F.col(mask).isNotNull()
+    rows = checkpoint(scores.where(usable).select(*by, label, mask, "score"))
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.where(F.col("_n") > frame_limit).select(*by)
     schema = StructType([rows.schema[c] for c in [*by, label, mask, "score"]])
@@ -134,6 +138,8 @@ def greedy_match(
                 *by, label, mask, "score"
             )
         )
+        if not taken.limit(1).collect():
+            raise RuntimeError("a round took no pair")
         out = out.unionByName(taken)
         left = checkpoint(
             left.join(taken.select(*by, label), [*by, label], "left_anti").join(

@@ -92,7 +92,7 @@ def mixture(
         )
     )
     key = F.col("batch") * 100003 + F.col("slot")
-    u = draw("mixture", key, F.col("source"))
+    u = draw("mixture", key, F.col("source"), F.col("batch"), F.col("slot"))
     drawn = slots.withColumn("row", F.floor(u * F.col("_size")))
     named = indexed.withColumn("_s", F.col(source).cast("string"))
     out = drawn.drop("_size").withColumnRenamed("source", "_s").join(named, ["_s", "row"])

@@ -57,7 +57,8 @@ def quantiles(
         low = F.min(F.when(upto > F.floor(place), v))
         high = F.min(F.when(upto > F.ceil(place), v))
         share = F.max(place - F.floor(place))
-        value = low if lower else low + (high - low) * share
+        # equal neighbours need no step between them; infinite ones have none
+        value = low if lower else F.when(low == high, low).otherwise(low + (high - low) * share)
         out.append(value.alias(name))
     return ranked.groupBy(*by).agg(*out)
 

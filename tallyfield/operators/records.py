@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.boxes import box_reach, inside_box
 from tallyfield.operators.ordered import MAX_GROUP_ROWS, Ordered, row_number, with_group
+from tallyfield.operators.quantiles import no_nan
 from tallyfield.operators.spatial import cover
 
 MIN_BOX_H, MIN_BOX_W, MIN_POINTS = 90, 35, 30
@@ -67,10 +68,11 @@ def gate_status(
     w: int = MIN_BOX_W,
     n: int = MIN_POINTS,
 ) -> Column:
-    """Why a sample is refused, tested in this order, or ``accepted``."""
+    """Why a sample is refused, tested in this order, or ``accepted``; missing or NaN is refused."""
+    fits = (no_nan(box_h) >= h) & (no_nan(box_w) >= w)
     return (
-        F.when((box_h < h) | (box_w < w), "rejected_box")
-        .when(F.coalesce(points, F.lit(0)) < n, "rejected_points")
+        F.when(~F.coalesce(fits, F.lit(False)), "rejected_box")
+        .when(F.coalesce(no_nan(points), F.lit(0)) < n, "rejected_points")
         .otherwise("accepted")
     )
 

@@ -120,3 +120,15 @@ def test_flat_boxes_are_null(spark):
     got = {r["c"]: (r["x0"], r["y0"], r["x1"], r["y1"]) for r in E.bbox2d(d, ["c"], 256, 256).collect()}
     assert got[0] == (None,) * 4 and got[1] == (None,) * 4
     assert got[2] == (0.0, 0.0, 255.0, 50.0)
+
+
+def test_missing_overlap_is_a_miss_and_missing_score_last(spark):
+    from tallyfield.operators.evaluation import average_precision
+    from tallyfield.operators.records import gate_status
+
+    nan = float("nan")
+    d = spark.createDataFrame([("a", 1, nan, 0.9), ("b", 1, 0.9, 0.8), ("b", 2, 0.1, nan)], "g string, k int, iou double, s double")
+    got = {r["g"]: r["ap_50"] for r in average_precision(d, ["g"], "iou", "s", "k", (0.5,)).collect()}
+    assert got == {"a": 0.0, "b": 0.5}
+    b = spark.createDataFrame([(nan, 900.0, 900), (900.0, None, 900)], "h double, w double, n int")
+    assert {r[0] for r in b.select(gate_status(F.col("h"), F.col("w"), F.col("n"))).collect()} == {"rejected_box"}

@@ -109,3 +109,13 @@ def test_speed_settings(spark):
     v = spark.range(2000).select(M.sample_speed(hashed(), 30.0, 20.0, F.col("id")).alias("v"))
     lo, hi = v.agg(F.min("v"), F.max("v")).first()
     assert lo == 0 and hi <= 130 / 3.6
+
+
+def test_draws_differ_between_clouds(spark):
+    points = spark.range(300).select(
+        (F.col("id") % 3).alias("cloud"), F.floor(F.col("id") / 3).alias("idx"), *[F.lit(0.0).alias(a) for a in "xyz"]
+    )
+    noise = A.jitter(points, "idx", 0.02, cloud="cloud")
+    assert noise.select("x").distinct().count() == 300
+    kept = A.subsample(points, "cloud", "idx", 0.3).groupBy("cloud").agg(F.sort_array(F.collect_list("idx")).alias("i"))
+    assert kept.select("i").distinct().count() == 3

@@ -163,3 +163,22 @@ def test_samples_do_not_depend_on_partitions(hot):
     assert rows(subsample(d, "g", "i", 0.3), "g", "i") == rows(
         subsample(d, "g", "i", 0.3, limit=20), "g", "i"
     )
+
+
+def test_quantiles_with_infinities_are_the_same_split(spark):
+    from tallyfield.operators.quantiles import quantiles
+
+    rows = [("a", 1.0), *[("a", float("inf"))] * 3, ("b", float("nan")), ("b", 2.0), ("b", None)]
+    d = spark.createDataFrame(rows, "g string, v double")
+    wanted = {"p50": 0.5, "p90": 0.9}
+    got = [sorted(map(tuple, quantiles(d, ["g"], F.col("v"), wanted, limit=n).collect())) for n in (1, 100)]
+    assert got[0] == got[1] == [("a", float("inf"), float("inf")), ("b", 2.0, 2.0)]
+
+
+def test_greedy_match_without_keys_is_the_same_split(spark):
+    from tallyfield.operators.matching import greedy_match
+
+    rows = [(1, "a", "x", 0.9), (1, None, "x", 0.8), (1, "b", None, 0.7), (1, "b", "y", float("nan")), (1, "b", "x", 0.5)]
+    d = spark.createDataFrame(rows, "f int, label string, mask string, score double")
+    got = [[tuple(r) for r in greedy_match(d, ["f"], "label", "mask", frame_limit=n).collect()] for n in (0, 100)]
+    assert got[0] == got[1] == [(1, "a", "x", 0.9)]
