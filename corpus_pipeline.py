@@ -60,7 +60,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = mixing.mixed(docs, WEIGHTS).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
     copies = copies.where("_copies > 0").withColumnRenamed("doc_id", "_id")
     taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return taken.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*[docs[c] for c in docs.columns])
+    extra = "_nth" + "_" * max(len(c) for c in docs.columns)  # no column of the documents
+    each = F.explode(F.sequence(F.lit(1).cast("long"), copies["_copies"])).alias(extra)
+    return taken.select(*[docs[c] for c in docs.columns], each).drop(extra)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
