@@ -62,7 +62,8 @@ def _grams(words: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray
         shifted[1:] = before[:-1]
         # a start in the middle of an n-gram: all of what lies before it counts as START
         shifted[starts] = lead
-        before = _mix(shifted, words)
+        # 56 bits tell n-grams apart: a chance match among 10^12 of them is one in 10^4; words keep 64
+        before = _mix(shifted, words) & ~np.uint64(0xFF)
         out.append(before)
     return out
 
@@ -95,8 +96,11 @@ def _encode(order: int, parts: int):
             learned = np.repeat(~np.array(held, bool), lengths)
             rows = [(bundle, 0, -1, ids(keys), pack(np.array(held, np.uint8)), pack(lengths), pack(numbers.astype(np.uint32)), pack(hashes))]
             for level, grams in enumerate(_grams(words, starts, order), 1):
-                distinct, where = np.unique(grams, return_inverse=True)
-                counts = np.bincount(where, weights=learned, minlength=len(distinct)).astype(np.uint32)
+                order_of = np.argsort(grams)
+                ranked = grams[order_of]
+                first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+                distinct, counts = ranked[first], np.add.reduceat(learned[order_of], first, dtype=np.uint32)
+                del order_of, ranked, first
                 part = ranges(distinct, parts)
                 cuts = np.searchsorted(part, np.arange(parts + 1))
                 for p in np.flatnonzero(np.diff(cuts)):
