@@ -46,9 +46,13 @@ class _Numbers(dict):
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of a pair of hashes, order included."""
-    x = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + b
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    out = np.empty(len(b), np.uint64)
+    for i in range(0, len(b), 1 << 20):  # in parts, so that steps between take little memory
+        x, y = a[i : i + (1 << 20)], b[i : i + (1 << 20)]
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + y
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        out[i : i + (1 << 20)] = x ^ (x >> np.uint64(31))
+    return out
 
 
 def _grams(words: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 
-BUNDLE_CHARS = 32_000_000  # texts of one bundle; one longer text is a bundle of its own
+BUNDLE_CHARS = 20_000_000  # texts of one bundle; one longer text is a bundle of its own
 
 
 def pack(values: np.ndarray) -> bytes:
