@@ -32,8 +32,8 @@ ORDER = 2
 PRIOR = 500.0  # words; texts of this kind repeat few pairs, so a pair must be seen often to count
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)  # of a text
 
+_COLUMNS = ["bundle", "level", "part", "ids", "held", "lengths", "a", "b"]
 _TABLE = "bundle long, level int, part int, ids array<long>, held binary, lengths binary, a binary, b binary"
-_ANSWER = "bundle long, level int, part int, a binary, n long, v long"
 
 
 class _Numbers(dict):
@@ -96,30 +96,45 @@ def _encode(order: int, parts: int):
             rank = np.empty(len(seen) + 1, np.int32)
             rank[often], rank[-1] = np.arange(len(seen), dtype=np.int32), len(seen)
             numbers, hashes = rank[numbers], hashes[often]
-            words, starts = _stream(numbers, hashes, lengths)
+            seen.clear()
             learned = np.repeat(~np.array(held, bool), lengths)
             rows = [(bundle, 0, -1, ids(keys), pack(np.array(held, np.uint8)), pack(lengths), pack(numbers.astype(np.uint32)), pack(hashes))]
+            words, starts = _stream(numbers, hashes, lengths)
             for level, grams in enumerate(_grams(words, starts, order), 1):
-                order_of = np.argsort(grams)
-                ranked = grams[order_of]
-                first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-                distinct, counts = ranked[first], np.add.reduceat(learned[order_of], first, dtype=np.uint32)
-                del order_of, ranked, first
+                if level == 1:  # words are told apart already
+                    counts = np.bincount(numbers[learned], minlength=len(hashes) + 1).astype(np.uint32)
+                    distinct = np.append(hashes, END)
+                    by_hash = np.argsort(distinct)
+                    distinct, counts = distinct[by_hash], counts[by_hash]
+                else:  # the free low bit holds whether the place counts, so that one sort in place does
+                    marked = grams | learned
+                    marked.sort()
+                    distinct = marked & ~np.uint64(0xFF)
+                    first = np.flatnonzero(np.concatenate(([True], distinct[1:] != distinct[:-1])))
+                    distinct = distinct[first]
+                    marked &= np.uint64(1)
+                    counts = np.add.reduceat(marked, first).astype(np.uint32)
+                    del marked, first
                 part = ranges(distinct, parts)
                 cuts = np.searchsorted(part, np.arange(parts + 1))
                 for p in np.flatnonzero(np.diff(cuts)):
                     s = slice(cuts[p], cuts[p + 1])
                     gaps = np.diff(distinct[s], prepend=np.uint64(0))
                     rows.append((bundle, level, int(p), None, None, None, pack(gaps), pack(counts[s])))
-            columns = ["bundle", "level", "part", "ids", "held", "lengths", "a", "b"]
             for at in range(0, len(rows), 64):
-                yield pd.DataFrame(rows[at : at + 64], columns=columns)
+                yield pd.DataFrame(rows[at : at + 64], columns=_COLUMNS)
 
     return run
 
 
 def _merge(blocks: pd.DataFrame) -> pd.DataFrame:
-    """Adds the counts of one hash range up and answers every bundle in its own order."""
+    """Adds the counts of one hash range up and answers every bundle in its own order; texts pass.
+
+    Bundle -1 gets the sum of the range's counts and the number of its n-grams seen in training.
+    """
+    blocks = blocks[_COLUMNS]
+    if blocks["level"].iloc[0] == 0:
+        return blocks.assign(n=0, v=0)
     level, part = int(blocks["level"].iloc[0]), int(blocks["part"].iloc[0])
     grams = [np.cumsum(unpack(x)) for x in blocks["a"]]
     counts = [unpack(x) for x in blocks["b"]]
@@ -127,10 +142,10 @@ def _merge(blocks: pd.DataFrame) -> pd.DataFrame:
     totals = np.bincount(where, weights=np.concatenate(counts)).astype(np.uint64)
     rows, at = [], 0
     for bundle, g in zip(blocks["bundle"], grams, strict=True):
-        rows.append((bundle, level, part, pack(totals[where[at : at + len(g)]]), 0, 0))
+        rows.append((bundle, level, part, None, None, None, pack(totals[where[at : at + len(g)]]), None, 0, 0))
         at += len(g)
-    rows.append((-1, level, part, None, int(totals.sum()), int((totals > 0).sum())))
-    return pd.DataFrame(rows, columns=["bundle", "level", "part", "a", "n", "v"])
+    rows.append((-1, level, part, None, None, None, None, None, int(totals.sum()), int((totals > 0).sum())))
+    return pd.DataFrame(rows, columns=[*_COLUMNS, "n", "v"])
 
 
 def _walk(order: int, prior: float, n: int, v: int):
@@ -144,7 +159,11 @@ def _walk(order: int, prior: float, n: int, v: int):
         for level, grams in enumerate(_grams(words, starts, order), 1):
             # parts are ranges of the hash: one after the other they are in the order of unique()
             totals = np.concatenate([unpack(x) for x in rows.loc[rows["level"] == level, "a"]])
-            seen = totals[np.unique(grams, return_inverse=True)[1]].astype(np.float64)
+            distinct, where = np.unique(grams, return_inverse=True)
+            if len(distinct) != len(totals):
+                raise RuntimeError("a bundle changed between two reads: give rows of a written table")
+            seen = totals[where].astype(np.float64)
+            del distinct, where, totals
             if level == 1:
                 p = (seen + 0.5) / (n + 0.5 * (v + 1))
                 base, known, texts = np.log10(p), seen > 0, seen[ends[0]]
@@ -180,21 +199,23 @@ def scored(
     base_score (root alone) and score, both log10 probabilities of the whole text. Null and empty
     texts have the end alone. Rows that repeat are scored, and learned from, each. An empty table,
     or one without training rows, still has the root's unseen word. The key is an integer or null.
-    ``parts`` is the number of hash ranges, by default that of shuffle partitions.
+    ``parts`` is the number of hash ranges, by default that of shuffle partitions. Rows should be those
+    of a written table: after a lost executor it is read again, and a bundle that then comes out
+    otherwise is an error.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(
         F.col(key).cast("long").alias("_key"), F.coalesce(held_out, F.lit(False)).alias("_held"), F.col(text).alias("_text")
     )
-    table = checkpoint(rows.mapInPandas(_encode(order, parts), _TABLE))
-    blocks = table.where("level > 0").select("bundle", "level", "part", "a", "b")
-    answers = checkpoint(blocks.groupBy("level", "part").applyInPandas(_merge, _ANSWER))
-    sums = answers.where("bundle = -1 and level = 1").agg(F.sum("n"), F.sum("v")).first()
-    n, v = sums[0] or 0, sums[1] or 0
-    parted = table.where("level = 0").unionByName(
-        answers.where("bundle >= 0").select("bundle", "level", "part", "a"), allowMissingColumns=True
+    # one shuffle for texts and blocks alike: each text row is a group of its own and passes
+    table = rows.mapInPandas(_encode(order, parts), _TABLE).withColumn("own", F.when(F.col("level") == 0, F.col("bundle")))
+    merged = checkpoint(
+        table.groupBy("level", "part", "own").applyInPandas(_merge, f"{_TABLE}, n long, v long")
     )
+    sums = merged.where("bundle = -1 and level = 1").agg(F.sum("n"), F.sum("v")).first()
+    n, v = sums[0] or 0, sums[1] or 0
+    parted = merged.where("bundle >= 0").drop("n", "v")
     schema = "_key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = parted.groupBy("bundle").applyInPandas(_walk(order, prior, n, v), schema)
     return out.withColumnRenamed("_key", key)

@@ -31,6 +31,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 # tables of letters and spaces may be of another Unicode version.
 PLAIN = r"[\t\n\r\x20-\x7E¡-ɏ‐-‟…]*"
 ONCE = 2_000  # pre-tokens given to the library at a time
+BUNDLE_CHARS = 20_000_000  # texts of one bundle; larger ones repeat fewer pre-tokens
 
 _TABLE = "bundle long, part int, ids array<long>, bytes binary, extra binary, sizes binary, a binary, b binary, pieces binary"
 _ANSWER = "bundle long, part int, a binary, b binary"
@@ -89,7 +90,7 @@ def _splitter(made, added: list[str]):
 def _encode(path: str, parts: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split = _splitter(*_library(path))
-        for bundle, (keys, texts) in bundles(frames, ["_key", "_text"]):
+        for bundle, (keys, texts) in bundles(frames, ["_key", "_text"], BUNDLE_CHARS):
             seen = _Numbers()
             which, often, sizes = [], [], np.zeros(len(texts), np.uint32)
             extra, n_bytes = np.zeros(len(texts), np.uint32), np.zeros(len(texts), np.uint64)
