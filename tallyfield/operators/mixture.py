@@ -207,10 +207,11 @@ def sample_speed(
     return F.least(F.greatest(v, F.lit(0.0)), F.lit(max_kmh)) * KMH
 
 
-# fixed variants of a frame's scan plan: name -> (fixed sensor or NULL for random, ball radius m)
+# fixed variants of a frame's scan plan: name -> (fixed sensor or NULL for random, ball radius m or
+# NULL for that of the main scans)
 SCAN_VARIANTS = (
     ("ball025", None, 0.25),
-    ("target_waymo", "waymo64", 1.0),
+    ("target_waymo", "waymo64", None),
     ("check", "OS1-64-1024", 0.0),
 )
 
@@ -232,7 +233,9 @@ def scan_plan(
     rows = F.array(
         *[
             F.struct(
-                F.lit(n).alias("variant"), F.lit(s).cast("string").alias("fixed"), F.lit(r).alias("ball")
+                F.lit(n).alias("variant"),
+                F.lit(s).cast("string").alias("fixed"),
+                F.lit(float(radius_m if r is None else r)).alias("ball"),
             )
             for n, s, r in variants
         ]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tallyfield.session import checkpoint
 
 LEAF_ROWS = 64  # positions per last-level cell the pyramid aims for
-MAX_DEPTH = 16
+MAX_DEPTH = 30  # cells down to a billionth of the extent; one far outlier costs depth, not an overfull cell
 STEP = 2  # levels per descent
 
 

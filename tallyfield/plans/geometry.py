@@ -279,17 +279,24 @@ def mirrored_back(spark, sf):
 @query(
     "sweep_distortion",
     """SELECT idx, round(t, 6) AS t, round(cos(-w)*(x - 10*t) - sin(-w)*z, 5) AS x1, round(sin(-w)*(x-10*t) + cos(-w)*z, 5) AS z1 FROM (
- SELECT *, radians(20*t) AS w FROM (SELECT *, ((az + 45) % 360)/360*0.1 - 45/360.0*0.1 AS t FROM (SELECT *, degrees(atan2(x, z)) AS az FROM fx_points))) WHERE az > -45""",
+ SELECT *, radians(20*t) AS w FROM (SELECT *, ((az + 406) % 360)/360*0.1E0 - 46/360.0E0*0.1E0 AS t FROM (SELECT *, degrees(atan2(x, z)) AS az FROM fx_points)))""",
     views=("fx_points",),
 )
 def sweep_distortion(spark, sf):
-    d = fx.points(spark, sf).withColumn("az", F.degrees(F.atan2("x", "z"))).where(F.col("az") > -45)
-    d = d.withColumn("t", S.column_times(F.col("az"), F.lit(-45.0), F.lit(45.0), 10.0))
+    d = fx.points(spark, sf).withColumn("az", F.degrees(F.atan2("x", "z")))
+    d = d.withColumn("t", S.column_times(F.col("az"), F.lit(-46.0), F.lit(46.0), 10.0))
     p = S.motion_distort(_xyz(d), F.col("t"), vec(10.0, 0.0, 0.0), 20.0)
     return d.select("idx", _r("t", 6).alias("t"), _r(p[0]).alias("x1"), _r(p[2]).alias("z1"))
 
 
-@query("azimuth_windows")
+@query(
+    "azimuth_windows",
+    """SELECT rec, round(h, 5) AS hfov, round(az0 + min(rel), 5) AS az_min, round(az0 + max(rel), 5) AS az_max, CAST(round_even(h/360*1024, 0) AS BIGINT) AS "columns" FROM (
+ SELECT rec, h, az0, (degrees(atan2((s.side + 0.5E0/320)*tan(radians(h/2))*z - score, z)) - az0 + 540) % 360 - 180 AS rel FROM (
+  SELECT rec, score, CAST(40 + rec % 60 AS DOUBLE) AS h, degrees(atan2(-score, (0.5E0*pow(150.0E0, 15/31.0E0) + 0.5E0*pow(150.0E0, 16/31.0E0))/2)) AS az0 FROM fx_boxes)
+ CROSS JOIN (SELECT 0.5E0*pow(150.0E0, range/31.0E0) AS z FROM range(32)) CROSS JOIN (VALUES (-1), (1)) AS s(side)) GROUP BY rec, h, az0""",
+    views=("fx_boxes",),
+)
 def azimuth_windows(spark, sf):
     d = fx.boxes(spark, sf)
     cam = C.camera_from_hfov(40 + F.col("rec") % 60, F.lit(640), F.lit(480))
@@ -405,25 +412,36 @@ def mesh_differences(spark, sf):
 def icp_displacements(spark, sf):
     p = fx.points(spark, sf)
     cols = ["cloud", "idx", "x", "y", "z"]
-    pts = p.where(F.col("channel") <= 2).select(*cols)
+    pts = p.where(F.col("channel") <= 4).select(*cols)
     verts = p.where(F.col("channel") > 4).select("cloud", F.col("idx").alias("vertex"), "x", "y", "z")
     return M.icp_residual(pts, verts, "cloud", ("idx", "vertex"), 2)
 
 
+# turns about one axis: their mean rotation is that of the mean direction
+_TURNS = """turn AS (SELECT ds, 0.01E0*(rec % 50) AS a FROM fx_joints WHERE joint = 0),
+mean_turn AS (SELECT ds, atan2(avg(sin(a)), avg(cos(a))) AS m FROM turn GROUP BY ds)"""
+
+
 @query(
     "rotation_priors",
-    """SELECT ds, round(avg(cos(0.01*(rec % 50))), 5) AS c FROM fx_joints WHERE joint = 0 GROUP BY ds""",
+    """SELECT ds, round(cos(m), 5) AS c, round(1 + 2*cos(m), 5) AS trace FROM mean_turn""",
     views=("fx_joints",),
+    ctes=_TURNS,
 )
 def rotation_priors(spark, sf):
     a = F.lit(0.01) * (F.col("rec") % 50)
     d = fx.joints(spark, sf).select("ds", "rec", V.yaw_matrix(a).alias("r"))
+    m = F.col("mean")
     prior = M.rotation_prior(d, "ds", "r")
-    mean = d.groupBy("ds").agg(F.avg(F.col("r")[0]).alias("c"))
-    return mean.join(prior, "ds").where(F.col("sigma") >= 0).select("ds", _r("c").alias("c"))
+    return prior.select("ds", _r(m[0]).alias("c"), _r(m[0] + m[4] + m[8]).alias("trace"))
 
 
-@query("rotation_spreads")
+@query(
+    "rotation_spreads",
+    """SELECT ds, round(sqrt(avg((a - m)*(a - m))), 5) AS sigma, round(cos(any_value(m)), 5) AS m00 FROM turn JOIN mean_turn USING (ds) GROUP BY ds""",
+    views=("fx_joints",),
+    ctes=_TURNS,
+)
 def rotation_spreads(spark, sf):
     a = F.lit(0.01) * (F.col("rec") % 50)
     d = fx.joints(spark, sf).select("ds", "rec", V.yaw_matrix(a).alias("r"))

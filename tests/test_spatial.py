@@ -119,3 +119,14 @@ def test_search_plan_has_no_nested_loop(spark):
     d = nearest(a, b, coords=["x"], query_id="q", point_id="p", max_distance=0.5)
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_one_far_outlier_leaves_no_overfull_cell(spark):
+    """A return a thousand kilometres off costs levels of the pyramid, not an all-pairs cell."""
+    rows = [(0, i, (i * 37 % 101) / 10.0, (i * 53 % 97) / 10.0) for i in range(300)] + [(0, 300, 1e6, 1e6)]
+    pts = spark.createDataFrame(rows, "g int, pid int, x double, y double")
+    asked = [(0, 0, 4.0, 4.0), (0, 1, 9e5, 9e5)]
+    qs = spark.createDataFrame(asked, "g int, qid int, x double, y double")
+    got = nearest(qs, pts, by=["g"], coords=["x", "y"], query_id="qid", point_id="pid", k=1, leaf=16).collect()
+    best = {q: min(((x - a) ** 2 + (y - b) ** 2, p) for _, p, a, b in rows)[1] for _, q, x, y in asked}
+    assert {r.qid: r.pid for r in got} == best
