@@ -1,4 +1,8 @@
-"""Boxes (cx, cy, cz, dx, dy, dz, yaw) as array columns; yaw turns the x-z plane, up is -y."""
+"""Boxes (cx, cy, cz, dx, dy, dz, yaw) as array columns; yaw turns the x-z plane, up is -y.
+
+Functions with ``up`` take boxes of another up axis too: yaw then turns the plane of the other two
+axes, from the first towards the second.
+"""
 
 from __future__ import annotations
 
@@ -23,8 +27,33 @@ from tallyfield.functions.vectors import (
 UP = 1  # index of the up axis
 
 
-def bev_corners(box: Column) -> Column:
-    """The four ground-plane corners (x, z) of a box, counter-clockwise."""
+def _order(up: int) -> list[int]:
+    first, second = (i for i in range(3) if i != up)
+    return [first, up, second]
+
+
+def y_up(v: Column, up: int = UP) -> Column:
+    """A box whose up axis is ``up``, with its axes in the order of the functions here."""
+    if up == UP:
+        return v
+    return F.array(*[v[i] for i in _order(up)], *[v[3 + i] for i in _order(up)], v[6])
+
+
+def _point_y_up(p: Column, up: int) -> Column:
+    return p if up == UP else F.array(*[p[i] for i in _order(up)])
+
+
+def finite_box(box: Column) -> Column:
+    """Whether a box has all of its numbers, none of them NaN or infinite."""
+    return F.coalesce(
+        (F.size(box) == 7) & F.forall(box, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))),
+        F.lit(False),
+    )
+
+
+def bev_corners(box: Column, up: int = UP) -> Column:
+    """The four ground-plane corners of a box, counter-clockwise, in its two ground axes."""
+    box = y_up(box, up)
     c, s = F.cos(box[6]), F.sin(box[6])
     ha, hb = box[3] / 2.0, box[5] / 2.0
     out = []
@@ -34,13 +63,19 @@ def bev_corners(box: Column) -> Column:
     return F.array(*out)
 
 
-def box_corners(box: Column) -> Column:
+def box_corners(box: Column, up: int = UP) -> Column:
     """The eight corners of a box."""
+    first, second = (i for i in range(3) if i != up)
     c, s = F.cos(box[6]), F.sin(box[6])
     out = []
-    for sx, sy, sz in product((-0.5, 0.5), repeat=3):
-        a, b = box[3] * sx, box[5] * sz
-        out.append(F.array(box[0] + c * a - s * b, box[1] + box[4] * sy, box[2] + s * a + c * b))
+    for signs in product((-0.5, 0.5), repeat=3):
+        a, b = box[3 + first] * signs[first], box[3 + second] * signs[second]
+        at = {
+            first: box[first] + c * a - s * b,
+            second: box[second] + s * a + c * b,
+            up: box[up] + box[3 + up] * signs[up],
+        }
+        out.append(F.array(*[at[i] for i in range(3)]))
     return F.array(*out)
 
 
@@ -50,8 +85,9 @@ def box_reach(box: Column) -> tuple[Column, Column]:
     return (c * box[3] + s * box[5]) / 2.0, (s * box[3] + c * box[5]) / 2.0
 
 
-def inside_box(p: Column, box: Column, margin: float = 0.0) -> Column:
+def inside_box(p: Column, box: Column, margin: float = 0.0, up: int = UP) -> Column:
     """Whether a point lies in the box grown by ``margin`` (borders included)."""
+    p, box = _point_y_up(p, up), y_up(box, up)
     c, s = F.cos(box[6]), F.sin(box[6])
     x, z = p[0] - box[0], p[2] - box[2]
     return (

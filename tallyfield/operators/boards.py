@@ -186,6 +186,48 @@ def beats_static(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return d.where(better).drop("_lo", "_hi")
 
 
+def scoreboard(
+    evals: DataFrame,
+    logs: DataFrame,
+    done: DataFrame,
+    spec: DataFrame,
+    static: DataFrame,
+    primary: str,
+    splits: Sequence[str],
+    blanked: Sequence = (),
+) -> DataFrame:
+    """The whole board, from run results to ranks: (label, split, metric, value, note, kind, rank, beats).
+
+    ``spec`` is (label, run, pos, retrain), the planned rows; see ``load_runs`` for the results.
+    ``static`` is (method, split, file, metric, value, pos), compared rows, filled from sibling files
+    of ``primary``. Placement of ``blanked`` runs is left out. ``rank`` is NULL beyond the best three,
+    ``beats`` marks our rows that are better than every static one of their column. Planned rows
+    without a result have the note ``queued`` and neither metric nor value.
+    """
+    runs = load_runs(evals, logs, done).withColumnRenamed("run", "method")
+    runs = blank(runs, blanked).withColumnRenamed("method", "run")
+    plan = spec.select("label", "run").distinct()
+    ours = None
+    for s in splits:
+        part = seed_mean(runs.where(F.col("split") == s), plan).withColumn("split", F.lit(s))
+        ours = part if ours is None else ours.unionByName(part)
+    about = spec.groupBy("label").agg(F.min("pos").alias("pos"), F.min("retrain").alias("retrain"))
+    ours = ours.join(about, "label").withColumn("kind", F.lit("ours"))
+    others = fill_from_siblings(static.where(F.col("split").isin(list(splits))), primary)
+    others = others.select(
+        F.col("method").alias("label"), F.col("file").alias("note"), "metric", "value", "split", "pos",
+        F.lit(None).cast("string").alias("retrain"), F.lit("static").alias("kind"),
+    )
+    rows = ours.unionByName(others)
+    at = ["label", "split", "metric", "kind"]
+    ranked = rank_columns(rows, ["split"]).select(*at, "rank")
+    better = beats_static(rows, ["split"]).select(*at, F.lit(True).alias("beats"))
+    out = rows.join(ranked, at, "left").join(better, at, "left")
+    return out.select(
+        "label", "split", "metric", "value", "note", "kind", "rank", F.coalesce("beats", F.lit(False)).alias("beats")
+    )
+
+
 def trend(df: DataFrame, by: Sequence[str], step: str, value: str) -> DataFrame:
     """Latest evaluation of a series and its change against the one before, in percent.
 

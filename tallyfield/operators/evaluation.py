@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.functions.boxes import box_reach, iou3d
+from tallyfield.functions.boxes import UP, box_reach, finite_box, iou3d, y_up
 from tallyfield.operators.ordered import (
     MAX_GROUP_ROWS,
     Ordered,
@@ -16,8 +16,8 @@ from tallyfield.operators.ordered import (
     row_number,
     running_sum,
 )
-from tallyfield.operators.quantiles import no_nan
-from tallyfield.operators.spatial import cover
+from tallyfield.operators.quantiles import join_groups, no_nan
+from tallyfield.operators.spatial import cell_width, cover, cover_level, on_levels
 
 IOU_THRESHOLDS = (0.25, 0.5, 0.7)
 DISTANCE_BINS_M = (0.0, 10.0, 20.0, 30.0, float("inf"))
@@ -129,6 +129,35 @@ def average_precision(
     return out.withColumn("map", mean / len(names))
 
 
+def metric_summary(
+    df: DataFrame,
+    by: Sequence[str],
+    metrics: Sequence[str],
+    *,
+    iou: str,
+    score: str,
+    key: str,
+    error: str,
+    depth: str,
+    thresholds: Sequence[float] = IOU_THRESHOLDS,
+    bins: Sequence[float] = DISTANCE_BINS_M,
+) -> DataFrame:
+    """All numbers of a method and split in one row per group.
+
+    Columns: by, n, the means of ``metrics``, ``mean_iou``, one ``ap_<threshold>`` each, ``map``
+    and ``by_distance``, an array of (bin, error, n) in the order of the bins. Rows without a
+    prediction have NULL metrics, a missing overlap (a miss) and count in n.
+    """
+    means = summarize(df, by, metrics, iou)
+    ap = average_precision(df, by, iou, score, key, thresholds).drop("n")
+    order = F.create_map(*[x for i, (label, _, _) in enumerate(bin_labels(bins)) for x in (F.lit(label), F.lit(i))])
+    far = error_by_distance(df, by, no_nan(F.col(error)), F.col(depth), bins)
+    rows = F.array_sort(F.collect_list(F.struct(order[F.col("bin")].alias("at"), "bin", "error", "n")))
+    parts = far.groupBy(*by).agg(rows.alias("_b"))
+    cells = F.transform("_b", lambda x: F.struct(x["bin"].alias("bin"), x["error"].alias("error"), x["n"].alias("n")))
+    return join_groups([means, ap, parts.select(*by, cells.alias("by_distance"))], by)
+
+
 def pairwise_iou(
     a: DataFrame,
     b: DataFrame,
@@ -136,19 +165,24 @@ def pairwise_iou(
     ids: tuple[str, str],
     cell_m: float = 2.0,
     aligned: bool = False,
+    once: bool = False,
+    up: int = UP,
 ) -> DataFrame:
     """Overlap ratio of all box pairs of a frame that overlap at all (the rest is 0).
 
-    Boxes meet on a ground grid: only pairs that touch a common cell are compared, and a pair
-    is kept in the one cell that holds the lower corner of its common rectangle, so nothing
-    has to be removed afterwards. Both tables carry ``box`` (7 numbers); ``aligned`` says that
-    all yaws are 0, then no Python is involved.
+    Boxes meet on a ground grid whose cells grow with the boxes: only pairs that touch a common
+    cell of the larger box's level are compared, and a pair is kept in the one cell that holds the
+    lower corner of its common rectangle, so nothing has to be removed afterwards. Both tables
+    carry ``box`` (7 numbers); ``aligned`` says that all yaws are 0, then no Python is involved.
+    ``once`` joins a table with itself: each pair once, the smaller id first. ``up`` is the index
+    of the up axis. Boxes with a missing, NaN or infinite number overlap nothing.
     """
 
-    def gridded(df: DataFrame, key: str, tag: str) -> DataFrame:
+    def flat(df: DataFrame, key: str, tag: str) -> DataFrame:
+        df = df.where(finite_box(F.col("box"))).withColumn("box", y_up(F.col("box"), up))
         rx, rz = box_reach(F.col("box"))
         box = F.col("box")
-        flat = df.select(
+        out = df.select(
             on,
             F.col(key).alias(f"_id_{tag}"),
             *([] if aligned else [box.alias(f"_box_{tag}")]),
@@ -160,31 +194,39 @@ def pairwise_iou(
             (box[2] + rz).alias(f"_z1_{tag}"),
             (box[3] * box[4] * box[5]).alias(f"_vol_{tag}"),
         )
-        c = F.col
-        return cover(
-            flat,
-            [c(f"_x0_{tag}"), c(f"_z0_{tag}")],
-            [c(f"_x1_{tag}"), c(f"_z1_{tag}")],
-            cell_m,
-        )
+        return out.withColumn(f"_own_{tag}", cover_level(*ground(tag), cell_m))
+
+    def ground(tag: str) -> tuple[list[Column], list[Column]]:
+        return [F.col(f"_{c}0_{tag}") for c in "xz"], [F.col(f"_{c}1_{tag}") for c in "xz"]
+
+    left, right = flat(a, ids[0], "a"), flat(b, ids[1], "b")
+    # a few numbers: the levels that occur
+    levels = (
+        left.select(F.col("_own_a").alias("g")).union(right.select("_own_b"))
+        .agg(F.sort_array(F.collect_set("g")))
+    )
+
+    def gridded(df: DataFrame, tag: str) -> DataFrame:
+        return cover(on_levels(df, levels.scalar(), F.col(f"_own_{tag}")), *ground(tag), cell_m)
 
     # a merge join spreads the pairs over tasks by cell, and skewed cells are split at run time;
     # a broadcast would leave them to the few tasks that read the boxes
-    cells = gridded(b, ids[1], "b").hint("merge")
-    both = gridded(a, ids[0], "a").join(cells, [on, "_g0", "_g1"])
+    both = gridded(left, "a").join(gridded(right, "b").hint("merge"), [on, "_g", "_g0", "_g1"])
+    both = both.where(F.col("_g") == F.greatest("_own_a", "_own_b"))
+    if once:
+        both = both.where(F.col("_id_a") < F.col("_id_b"))
     lo = {c: F.greatest(f"_{c}0_a", f"_{c}0_b") for c in "xyz"}
     hi = {c: F.least(f"_{c}1_a", f"_{c}1_b") for c in "xyz"}
     touch = (lo["x"] < hi["x"]) & (lo["y"] < hi["y"]) & (lo["z"] < hi["z"])
-    owner = (F.floor(lo["x"] / cell_m) == F.col("_g0")) & (
-        F.floor(lo["z"] / cell_m) == F.col("_g1")
-    )
+    width = cell_width(cell_m)
+    owner = (F.floor(lo["x"] / width) == F.col("_g0")) & (F.floor(lo["z"] / width) == F.col("_g1"))
     inter = (hi["x"] - lo["x"]) * (hi["y"] - lo["y"]) * (hi["z"] - lo["z"])
     union = F.col("_vol_a") + F.col("_vol_b") - inter
     ratio = F.when(union > 0, inter / union) if aligned else iou3d("_box_a", "_box_b")
-    left, right = (ids[0], ids[1]) if ids[0] != ids[1] else (f"{ids[0]}_a", f"{ids[1]}_b")
+    names = ids if ids[0] != ids[1] else (f"{ids[0]}_a", f"{ids[1]}_b")
     return (
         both.where(touch & owner)
-        .select(on, F.col("_id_a").alias(left), F.col("_id_b").alias(right), ratio.alias("iou"))
+        .select(on, F.col("_id_a").alias(names[0]), F.col("_id_b").alias(names[1]), ratio.alias("iou"))
         .where(F.col("iou") > 0)
     )
 

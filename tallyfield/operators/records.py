@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.functions.boxes import box_reach, inside_box
+from tallyfield.functions.boxes import UP, box_reach, finite_box, inside_box, y_up
 from tallyfield.operators.ordered import MAX_GROUP_ROWS, Ordered, row_number, with_group
 from tallyfield.operators.quantiles import no_nan
-from tallyfield.operators.spatial import cover
+from tallyfield.operators.spatial import cell_width, cover, cover_level, on_levels
 
 MIN_BOX_H, MIN_BOX_W, MIN_POINTS = 90, 35, 30
 CYCLES = ("vehicle.bicycle", "vehicle.motorcycle")
@@ -163,26 +163,30 @@ def all_inside(corners_uvz: Column, width: Column, height: Column, z_min: float
 
 
 def points_in_box(
-    points: DataFrame, boxes: DataFrame, on: str, box_id: str, margin: float = 0.0, cell_m: float = 2.0
+    points: DataFrame, boxes: DataFrame, on: str, box_id: str, margin: float = 0.0, cell_m: float = 2.0,
+    up: int = UP,
 ) -> DataFrame:
     """(point, box) rows for points inside a box of the same frame, borders included.
 
-    Points and boxes meet on a ground grid, so a point is compared with the boxes around it
-    and not with every box of its frame.
+    Points and boxes meet on a ground grid whose cells grow with the boxes, so a point is compared
+    with the boxes around it and not with every box of its frame. ``up`` is the index of the up
+    axis. Boxes with a missing, NaN or infinite number hold nothing.
     """
+    whole = boxes.where(finite_box(F.col("box"))).select(on, box_id, y_up(F.col("box"), up).alias("box"))
     rx, rz = box_reach(F.col("box"))
     b = F.col("box")
-    grown = cover(
-        boxes.select(on, box_id, "box"),
-        [b[0] - rx - margin, b[2] - rz - margin],
-        [b[0] + rx + margin, b[2] + rz + margin],
-        cell_m,
-    )
-    cells = points.withColumn("_g0", F.floor(F.col("x") / cell_m).cast("long")).withColumn(
-        "_g1", F.floor(F.col("z") / cell_m).cast("long")
-    )
-    hit = inside_box(F.array("x", "y", "z"), F.col("box"), margin)
-    return cells.join(grown, [on, "_g0", "_g1"]).where(hit).drop("_g0", "_g1", "box")
+    lo = [b[0] - rx - margin, b[2] - rz - margin]
+    hi = [b[0] + rx + margin, b[2] + rz + margin]
+    own = whole.withColumn("_g", cover_level(lo, hi, cell_m))
+    grown = cover(own, lo, hi, cell_m)
+    levels = own.agg(F.sort_array(F.collect_set("_g")))  # a few numbers: the levels that occur
+    width = cell_width(cell_m)
+    axes = ["xyz"[i] for i in range(3) if i != up]
+    cells = on_levels(points, levels.scalar())
+    for i, c in enumerate(axes):
+        cells = cells.withColumn(f"_g{i}", F.floor(F.col(c) / width).cast("long"))
+    hit = inside_box(F.array(axes[0], "xyz"[up], axes[1]), F.col("box"), margin)  # both in the y-up order
+    return cells.join(grown, [on, "_g", "_g0", "_g1"]).where(hit).drop("_g", "_g0", "_g1", "box")
 
 
 def within_radius(df: DataFrame, centre: Column, r: float = 1.5) -> DataFrame:

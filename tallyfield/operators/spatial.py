@@ -24,6 +24,8 @@ from tallyfield.session import checkpoint
 LEAF_ROWS = 64  # positions per last-level cell the pyramid aims for
 MAX_DEPTH = 30  # cells down to a billionth of the extent; one far outlier costs depth, not an overfull cell
 STEP = 2  # levels per descent
+COVER_STEP = 4  # a covering level has cells this many times as wide as the one below
+COVER_CELLS = 4  # cells a box spans at most on its own level, along each axis
 
 
 def _cells(coords: Sequence[str], origin: Sequence[Column], size: Column, depth: int) -> list:
@@ -238,11 +240,34 @@ def nearest(
     )
 
 
+def cover_level(lo: Sequence[Column], hi: Sequence[Column], size: float) -> Column:
+    """Grid level of a box: the lowest one at which it is at most ``COVER_CELLS`` cells wide."""
+    wide = reduce(F.greatest, [b - a for a, b in zip(lo, hi)]) / F.lit(size * COVER_CELLS)
+    up = F.ceil(F.log(wide) / math.log(COVER_STEP))
+    return F.when(wide <= 1, F.lit(0)).otherwise(up).cast("int")
+
+
+def cell_width(size: float) -> Column:
+    """Width of the cells of level ``_g``; powers of two times ``size``, so divisions agree."""
+    return F.lit(size) * F.pow(F.lit(float(COVER_STEP)), F.col("_g"))
+
+
+def on_levels(df: DataFrame, levels: Column, own: Column | None = None) -> DataFrame:
+    """A row per level ``_g`` of the set ``levels``, from the row's own level up."""
+    df = df.withColumn("_all", levels)
+    at = F.col("_all") if own is None else F.filter("_all", lambda g: g >= own)
+    return df.select("*", F.explode(at).alias("_g")).drop("_all")
+
+
 def cover(df: DataFrame, lo: Sequence[Column], hi: Sequence[Column], size: float) -> DataFrame:
-    """One row per grid cell that the box [lo, hi] touches, as columns ``_g0``, ``_g1`` …"""
+    """One row per cell of level ``_g`` that the box [lo, hi] touches, as columns ``_g0``, ``_g1`` …
+
+    The level is no lower than the box's own (see ``cover_level``), so a box touches a bounded
+    number of cells however large it is.
+    """
     out = df
     for i, (a, b) in enumerate(zip(lo, hi)):
-        first = F.floor(a / F.lit(size)).cast("long")
-        final = F.floor(b / F.lit(size)).cast("long")
+        first = F.floor(a / cell_width(size)).cast("long")
+        final = F.floor(b / cell_width(size)).cast("long")
         out = out.withColumn(f"_g{i}", F.explode(F.sequence(first, final)))
     return out

@@ -190,6 +190,57 @@ def seeds_averaged(spark, sf):
     return out.select("label", "note", "metric", _r("value").alias("value"))
 
 
+_BOARD = _LONG + """, ld AS (SELECT run, split, metric, value, CASE WHEN run % 3 = 0 THEN 'final step 12k' ELSE 'running, full-set eval at step 12k' END AS note
+  FROM av WHERE run % 2 = 0
+ UNION ALL SELECT run, split, metric, CASE WHEN metric <> 'transl_err_m' THEN value END, CASE WHEN run % 3 = 0 THEN 'final, step ' ELSE 'running, step ' END || (step // 1000) || 'k'
+  FROM lg WHERE run % 2 = 1 AND (run, step) IN (SELECT run, max(step) FROM lg GROUP BY run)),
+bl AS (SELECT run, split, metric, CASE WHEN NOT (run = 4 AND metric IN ('map', 'transl_err_m')) THEN value END AS value, note FROM ld WHERE split IN ('view', 'error')),
+spec AS (SELECT DISTINCT 'row' || (n_nationkey // 3) AS label, n_nationkey AS run, n_nationkey // 3 AS pos FROM nation),
+plan AS (SELECT label, min(pos) AS pos, count(DISTINCT run) AS planned FROM spec GROUP BY label),
+sp AS (SELECT * FROM (VALUES ('view'), ('error')) AS t(split)),
+found AS (SELECT label, split, count(DISTINCT run) AS found, string_agg(DISTINCT note, '; ' ORDER BY note) AS notes FROM spec JOIN bl USING (run) GROUP BY ALL),
+mean AS (SELECT label, split, metric, avg(value) AS value FROM spec JOIN bl USING (run) GROUP BY ALL),
+ours AS (SELECT p.label, sp.split, m.metric, m.value, CASE WHEN f.found IS NULL THEN 'queued' ELSE CASE WHEN found > 1 THEN 'mean of ' || found || ' seeds; ' ELSE '' END || notes
+   || CASE WHEN found < planned THEN ' (' || (planned - found) || ' seed pending)' ELSE '' END END AS note, 'ours' AS kind, pos, p.label = 'row1' AS again
+ FROM plan p CROSS JOIN sp LEFT JOIN found f ON f.label = p.label AND f.split = sp.split LEFT JOIN mean m ON m.label = p.label AND m.split = sp.split),
+st AS (SELECT *, dense_rank() OVER (PARTITION BY run, split ORDER BY f <> 2, f) AS nth FROM
+ (SELECT run, split, (run + step // 4000) % 4 AS f, avg(mpjpe) AS value FROM fx_metrics WHERE NOT missing AND run % 4 = 0 AND split IN ('view', 'error') GROUP BY ALL)),
+board AS (SELECT * FROM ours UNION ALL
+ SELECT 's' || run, split, 'mpjpe', value, 'f' || f, 'static', 100 + run, false FROM st WHERE nth = 1),
+ranks AS (SELECT label, split, metric, kind, row_number() OVER (PARTITION BY split, metric ORDER BY CASE WHEN metric = 'map' THEN -value ELSE value END, pos) - 1 AS rank
+ FROM board WHERE value IS NOT NULL AND NOT again),
+bars AS (SELECT split, metric, min(value) AS lo FROM board WHERE kind = 'static' GROUP BY ALL)"""
+
+
+@query(
+    "scoreboard",
+    """SELECT b.label, b.split, b.metric, round(b.value, 4) AS value, b.note, b.kind, CASE WHEN r.rank < 3 THEN r.rank END AS rank,
+  coalesce(b.kind = 'ours' AND b.value < bars.lo, false) AS beats
+ FROM board b LEFT JOIN ranks r USING (label, split, metric, kind) LEFT JOIN bars USING (split, metric)""",
+    views=("fx_metrics",),
+    ctes=_BOARD,
+)
+def scoreboard(spark, sf):
+    means = _means(spark, sf).where("run % 2 = 0")
+    evals = means.select("run", F.lit(12000).cast("long").alias("step"), "split", "metric", "value")
+    done = fx.metrics(spark, sf).where("run % 3 = 0").select("run")
+    pos = F.floor(F.col("n_nationkey") / 3)
+    spec = fx.table(spark, sf, "nation").select(
+        F.concat(F.lit("row"), pos.cast("string")).alias("label"), F.col("n_nationkey").cast("long").alias("run"),
+        pos.alias("pos"), F.when(pos == 1, "again").alias("retrain"),
+    )
+    m = fx.metrics(spark, sf).where("not missing and run % 4 = 0")
+    f = (F.col("run") + F.floor(F.col("step") / 4000)) % 4
+    m = m.select("run", "split", F.concat(F.lit("f"), f.cast("string")).alias("file"), "mpjpe")
+    m = m.groupBy("run", "split", "file").agg(F.avg("mpjpe").alias("value"))
+    static = m.select(
+        F.concat(F.lit("s"), F.col("run").cast("string")).alias("method"), "split", "file", F.lit("mpjpe").alias("metric"),
+        "value", (F.col("run") + 100).alias("pos"),
+    )
+    b = D.scoreboard(evals, _long(spark, sf), done, spec, static, "f2", ["view", "error"], [4])
+    return b.select("label", "split", "metric", _r("value").alias("value"), "note", "kind", F.col("rank").cast("long").alias("rank"), "beats")
+
+
 @query(
     "rows_annotated",
     """SELECT 'row' || (n_nationkey // 3) AS label, arg_min(r_name, n_nationkey) FILTER (r_regionkey IN (1, 3)) AS reason FROM nation

@@ -281,6 +281,49 @@ def average_precision(spark, sf):
     return ap.select("frame", "n", *[_r(c, 5).alias(c) for c in ("ap_25", "ap_50", "ap_70")])
 
 
+_SUMMARY = (
+    _CENTRED
+    + ", "
+    + _PRED_IOU
+    + """, s AS (SELECT per.*, iou.iou, iou.score FROM per LEFT JOIN iou USING (rec)),
+t AS (SELECT ds, rec, score, thr, CAST(coalesce(iou, 0) >= thr AS INT) AS tp FROM s CROSS JOIN (VALUES (0.25), (0.5), (0.7)) AS t(thr)),
+r AS (SELECT *, row_number() OVER w AS rn, sum(tp) OVER (w ROWS UNBOUNDED PRECEDING) AS cum,
+   count(*) OVER (PARTITION BY ds, thr) AS n FROM t WINDOW w AS (PARTITION BY ds, thr ORDER BY score DESC NULLS LAST, rec)),
+e AS (SELECT *, max(cum/rn) OVER (PARTITION BY ds, thr ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env FROM r),
+ap AS (SELECT ds, thr, sum(tp*env)/max(n) AS ap FROM e GROUP BY ds, thr),
+wide AS (SELECT ds, max(ap) FILTER (thr = 0.25) AS ap_25, max(ap) FILTER (thr = 0.5) AS ap_50, max(ap) FILTER (thr = 0.7) AS ap_70,
+  avg(ap) AS map FROM ap GROUP BY ds)"""
+)
+
+
+@query(
+    "metric_summary",
+    """SELECT ds, count(*) AS n, round(avg(mpjpe), 3) AS mpjpe, round(avg(abs_mpjpe), 3) AS abs_mpjpe,
+  round(avg(transl_err_m), 4) AS transl_err_m, round(avg(iou), 5) AS mean_iou, round(max(ap_25), 5) AS ap_25,
+  round(max(ap_50), 5) AS ap_50, round(max(ap_70), 5) AS ap_70, round(max(map), 5) AS map,
+  round(avg(transl_err_m) FILTER (gt_depth_m >= 0 AND gt_depth_m < 10), 4) AS err_0_10,
+  round(avg(transl_err_m) FILTER (gt_depth_m >= 10 AND gt_depth_m < 20), 4) AS err_10_20,
+  round(avg(transl_err_m) FILTER (gt_depth_m >= 20 AND gt_depth_m < 30), 4) AS err_20_30,
+  round(avg(transl_err_m) FILTER (gt_depth_m >= 30), 4) AS err_30 FROM s JOIN wide USING (ds) GROUP BY ds""",
+    views=("fx_err", "fx_boxes"),
+    ctes=_SUMMARY,
+)
+def metric_summary(spark, sf):
+    b = _pred_box(_box(fx.boxes(spark, sf)))
+    b = b.select("rec", "score", B.iou3d_aligned(F.col("box"), F.col("pred")).alias("iou"))
+    d = _joint_metrics(spark, sf).join(b, "rec", "left")
+    s = E.metric_summary(
+        d, ["ds"], ["mpjpe", "abs_mpjpe", "transl_err_m"], iou="iou", score="score", key="rec",
+        error="transl_err_m", depth="gt_depth_m",
+    )
+    bins = [_r(F.col("by_distance")[i]["error"]).alias(n) for i, n in enumerate(("err_0_10", "err_10_20", "err_20_30", "err_30"))]
+    return s.select(
+        "ds", "n", _r("mpjpe", 3).alias("mpjpe"), _r("abs_mpjpe", 3).alias("abs_mpjpe"),
+        _r("transl_err_m").alias("transl_err_m"),
+        *[_r(c, 5).alias(c) for c in ("mean_iou", "ap_25", "ap_50", "ap_70", "map")], *bins,
+    )
+
+
 @query(
     "mean_average_precision",
     "SELECT round(avg(m), 5) AS mean_map, count(*) AS frames FROM (SELECT frame, avg(ap) AS m FROM ap GROUP BY frame)",
@@ -302,11 +345,13 @@ def mean_average_precision(spark, sf):
   greatest(0, least(a.cx+a.dx/2,b.cx+b.dx/2)-greatest(a.cx-a.dx/2,b.cx-b.dx/2))
   *greatest(0, least(a.cy+a.dy/2,b.cy+b.dy/2)-greatest(a.cy-a.dy/2,b.cy-b.dy/2))
   *greatest(0, least(a.cz+a.dz/2,b.cz+b.dz/2)-greatest(a.cz-a.dz/2,b.cz-b.dz/2)) AS inter
- FROM fx_boxes a JOIN fx_boxes b ON a.frame = b.frame)""",
+ FROM (SELECT * REPLACE (rec // 400 AS frame) FROM fx_boxes) a
+ JOIN (SELECT * REPLACE (rec // 400 AS frame) FROM fx_boxes) b ON a.frame = b.frame AND a.rec < b.rec)""",
 )
 def pairwise_overlap(spark, sf):
-    d = _box(fx.boxes(spark, sf))
-    pairs = E.pairwise_iou(d, d, "frame", ("rec", "rec"), aligned=True)
+    # frames of a size, so that their number grows with the table
+    d = _box(fx.boxes(spark, sf)).withColumn("frame", F.floor(F.col("rec") / 400))
+    pairs = E.pairwise_iou(d, d, "frame", ("rec", "rec"), aligned=True, once=True)
     return pairs.select("frame", "rec_a", "rec_b", _r("iou", 5).alias("iou"))
 
 

@@ -42,11 +42,11 @@ def read_records(
 def limit_files(df: DataFrame, n: int, file: str = "file") -> DataFrame:
     """Only the first ``n`` files by name (studies of how results grow with data)."""
     first = df.select(file).distinct().orderBy(file).limit(n)
-    return df.join(F.broadcast(first), file, "left_semi")  # n names
+    return df.join(first, file, "left_semi")
 
 
-def write_records(df: DataFrame, path: str, rows_per_file: int = 512, mode: str = "error") -> None:
-    """Records in files of at most ``rows_per_file`` rows."""
+def write_records(df: DataFrame, path: str, rows_per_file: int = 0, mode: str = "error") -> None:
+    """Records in one file per task, or in files of at most ``rows_per_file`` rows if given."""
     df.write.mode(mode).option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 

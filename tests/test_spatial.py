@@ -130,3 +130,57 @@ def test_one_far_outlier_leaves_no_overfull_cell(spark):
     got = nearest(qs, pts, by=["g"], coords=["x", "y"], query_id="qid", point_id="pid", k=1, leaf=16).collect()
     best = {q: min(((x - a) ** 2 + (y - b) ** 2, p) for _, p, a, b in rows)[1] for _, q, x, y in asked}
     assert {r.qid: r.pid for r in got} == best
+
+
+def test_boxes_of_any_size_and_up_axis(spark):
+    """One box of kilometres beside small ones touches few cells; z-up boxes give the same rows."""
+    rnd = random.Random(9)
+    inf, nan = float("inf"), float("nan")
+    data = boxes(30, 8) + [
+        (0, 100, [5.0, 0.5, 5.0, 4000.0, 9.0, 4000.0, 0.3]),
+        (0, 101, [5.0, 0.5, 5.0, 60.0, 9.0, 1.0, 1.1]),
+        (0, 102, [5.0, 0.5, 5.0, inf, 1.0, 1.0, 0.0]),
+        (0, 103, [nan, 0.5, 5.0, 1.0, 1.0, 1.0, 0.0]),
+        (0, 104, None),
+    ]
+    pts = [(i % 3, i, rnd.uniform(0, 12), rnd.uniform(0, 1), rnd.uniform(0, 12)) for i in range(200)]
+    pts.append((0, 999, 1500.0, 1.0, 1200.0))
+
+    def turned(b):
+        return b and [b[0], b[2], b[1], b[3], b[5], b[4], b[6]]
+
+    shape = "frame int, rec int, box array<double>"
+    d = spark.createDataFrame(data, shape)
+    z = spark.createDataFrame([(f, i, turned(b)) for f, i, b in data], shape)
+    both = [
+        sorted((r["rec_a"], r["rec_b"], round(r["iou"], 9)) for r in pairwise_iou(x, x, "frame", ("rec", "rec"), once=True, up=up).collect())
+        for x, up in ((d, 1), (z, 2))
+    ]
+    assert both[0] == both[1]
+    assert all(a < b for a, b, _ in both[0])
+    inside = {b for a, b, _ in both[0] if b == 100}
+    assert inside == {100} and sum(b == 100 for _, b, _ in both[0]) == sum(f == 0 and i < 100 for f, i, _ in data)
+    assert not {102, 103, 104} & {x for a, b, _ in both[0] for x in (a, b)}
+    names = "frame int, idx int, x double, y double, z double"
+    p = spark.createDataFrame(pts, names)
+    q = spark.createDataFrame([(f, i, x, h, y) for f, i, x, y, h in pts], names)
+    got = [
+        sorted((r["idx"], r["rec"]) for r in points_in_box(x, b, "frame", "rec", 0.1, up=up).collect())
+        for x, b, up in ((p, d, 1), (q, z, 2))
+    ]
+    assert got[0] == got[1] and (999, 100) in got[0]
+
+
+def test_corners_of_z_up_boxes(spark):
+    from pyspark.sql import functions as F
+
+    from tallyfield.functions.boxes import bev_corners, box_corners
+
+    box = [1.0, 2.0, 3.0, 4.0, 2.0, 1.5, 0.7]
+    d = spark.createDataFrame([(box,)], "box array<double>")
+    r = d.select(bev_corners(F.col("box"), 2).alias("g"), box_corners(F.col("box"), 2).alias("c")).first()
+    c, s = np.cos(0.7), np.sin(0.7)
+    want = [(1 + c * a - s * b, 2 + s * a + c * b) for a, b in ((-2, -1), (2, -1), (2, 1), (-2, 1))]
+    assert np.allclose(r["g"], want)
+    assert np.allclose(sorted({round(p[2], 9) for p in r["c"]}), [2.25, 3.75])
+    assert {(round(p[0], 6), round(p[1], 6)) for p in r["c"]} == {(round(a, 6), round(b, 6)) for a, b in want}
