@@ -5,17 +5,23 @@ Batch twins of all of these are in ``operators``; the tests hold both to the sam
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from tallyfield.operators.boards import explode_log
+from tallyfield.operators.ordered import (
+    MAX_GROUP_ROWS,
+    Ordered,
+    carried,
+    min_before,
+    row_number,
+    running_max,
+)
 from tallyfield.session import scratch_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -24,7 +30,7 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 @contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
-    """The state store that per-key state needs, set while a query starts and runs."""
+    """A state store off the heap, set while a query starts and runs."""
     before = spark.conf.get(PROVIDER)
     spark.conf.set(PROVIDER, ROCKS)
     try:
@@ -53,126 +59,142 @@ def validation_rows(lines: DataFrame) -> DataFrame:
     return explode_log(lines, "line")
 
 
-class _Monotonic(StatefulProcessor):
-    """Largest step of a run so far."""
+@dataclass(frozen=True)
+class Carried:
+    """A stream whose micro-batches need what earlier ones left behind, a table with few rows per key.
 
-    def __init__(self, by: str, order: str, step: str) -> None:
-        self.by, self.order, self.step = by, order, step
+    Each micro-batch is worked as a batch job over ``Ordered`` groups, so a run that holds most of
+    its rows is spread over tasks and no run has to fit into one. ``work(batch, state)`` gives the
+    rows to write; ``keep(batch, written, state)`` the state for the next micro-batch. Batches of a
+    run must arrive in order; within one any order will do.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "step long")
+    stream: DataFrame
+    schema: str  # of the rows written
+    state: str  # schema of the state
+    work: Callable[[DataFrame, DataFrame], DataFrame]
+    keep: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.order)
-        top = pdf[self.step].cummax()
-        if self.last.exists():
-            top = top.clip(lower=self.last.get()[0])
-        self.last.update((int(top.iloc[-1]),))
-        yield pdf.assign(**{self.step: top})[[self.by, self.order, self.step]]
+    def saver(self, base: str) -> Callable[[DataFrame, int], None]:
+        """The function for ``foreachBatch``; rows go to ``base/out``.
 
-    def close(self) -> None:
-        pass
+        State is kept in two folders in turn: a repeated batch finds the one it started from as it
+        was, and its rows replace those of the first attempt.
+        """
 
+        def save(batch: DataFrame, number: int) -> None:
+            spark = batch.sparkSession
+            state = (
+                spark.read.schema(self.state).parquet(f"{base}/state/{(number - 1) % 2}")
+                if number
+                else spark.createDataFrame([], self.state)
+            )
+            batch = batch.persist()  # read several times
+            try:
+                out = f"{base}/out/batch={number}"
+                self.work(batch, state).write.mode("overwrite").parquet(out)
+                written = spark.read.schema(self.schema).parquet(out)
+                self.keep(batch, written, state).write.mode("overwrite").parquet(f"{base}/state/{number % 2}")
+            finally:
+                batch.unpersist()
 
-def monotonic_step(df: DataFrame, by: str, order: str, step: str) -> DataFrame:
-    """Steps that never go back: a row gets the largest step seen so far in its run."""
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (by, order, step))
-    return (
-        df.select(by, order, step)
-        .groupBy(by)
-        .transformWithStateInPandas(_Monotonic(by, order, step), schema, "append", "None")
-    )
-
-
-class _EarlyStop(StatefulProcessor):
-    """Best value per source and evaluations since the last improvement of a run."""
-
-    def __init__(self, by: str, step: str, source: str, value: str, n: int, min_steps: int) -> None:
-        self.by, self.step, self.source, self.value = by, step, source, value
-        self.n, self.min_steps = n, min_steps
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("best", "best string, since long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.step)
-        best, since = {}, 0
-        if self.state.exists():
-            text, since = self.state.get()
-            best = json.loads(text)
-        out = []
-        for step, part in pdf.groupby(self.step, sort=True):
-            improved = False
-            for s, v in zip(part[self.source], part[self.value]):
-                if pd.notna(v) and abs(v) < float("inf") and v < best.get(s, float("inf")):
-                    best[s], improved = float(v), True
-            since = 0 if improved else since + 1
-            stop = self.n > 0 and step >= self.min_steps and since >= self.n
-            out.append((key[0], int(step), improved, int(since), bool(stop)))
-        self.state.update((json.dumps(best), since))
-        yield pd.DataFrame(out, columns=[self.by, self.step, "improved", "since", "stop"])
-
-    def close(self) -> None:
-        pass
+        return save
 
 
-def early_stop(
-    df: DataFrame, by: str, step: str, source: str, value: str, n: int, min_steps: int = 0
-) -> DataFrame:
-    """Per evaluation of a run: improved, evaluations since, stop.
+def _with_state(df: DataFrame, state: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join on keys that may be null; the state's other columns are added."""
+    named = state.select(*[F.col(c).alias(f"_k_{c}") if c in on else F.col(c) for c in state.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in on]
+    return df.join(named, same, "left").drop(*[f"_k_{c}" for c in on])
 
-    All rows of one evaluation arrive together, as one log line.
-    """
-    kind = dict(df.dtypes)[by]
-    schema = f"{by} {kind}, {step} long, improved boolean, since long, stop boolean"
-    return (
-        df.select(by, step, source, value)
-        .groupBy(by)
-        .transformWithStateInPandas(
-            _EarlyStop(by, step, source, value, n, min_steps), schema, "append", "None"
-        )
-    )
 
+def _newest(state: DataFrame, rows: DataFrame, by: str) -> DataFrame:
+    """Largest ``_last`` per key of the state and the new rows."""
+    return state.unionByName(rows).groupBy(by).agg(F.max("_last").alias("_last"))
 
-class _Late(StatefulProcessor):
-    """Newest time of a run so far."""
 
-    def __init__(self, by: str, order: str, time: str, delay: int) -> None:
-        self.by, self.order, self.time, self.delay = by, order, time, delay
+def monotonic_step(df: DataFrame, by: str, order: str, step: str, limit: int = MAX_GROUP_ROWS) -> Carried:
+    """Steps that never go back: a row gets the largest step seen so far in its run."""
+    kinds = dict(df.dtypes)
+
+    def work(batch: DataFrame, state: DataFrame) -> DataFrame:
+        d = Ordered(batch, [by], [order], limit).add(_top=running_max(F.col(step))).result()
+        return _with_state(d, state, [by]).select(by, order, F.greatest("_top", "_last").alias(step))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "us long")
+    def keep(batch: DataFrame, written: DataFrame, state: DataFrame) -> DataFrame:
+        return _newest(state, written.select(by, F.col(step).alias("_last")), by)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.order)
-        seen = pdf[self.time].cummax()
-        before = seen.shift(1)
-        if self.newest.exists():
-            old = self.newest.get()[0]
-            before = before.fillna(old).clip(lower=old)
-            seen = seen.clip(lower=old)
-        self.newest.update((int(seen.iloc[-1]),))
-        late = (pdf[self.time] < before - self.delay).fillna(False).astype(bool)
-        yield pdf.assign(late=late)[[self.by, self.order, self.time, "late"]]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (by, order, step))
+    return Carried(df.select(by, order, step), schema, f"{by} {kinds[by]}, _last {kinds[step]}", work, keep)
 
-    def close(self) -> None:
-        pass
 
+def early_stop(
+    df: DataFrame, by: str, step: str, source: str, value: str, n: int, min_steps: int = 0,
+    limit: int = MAX_GROUP_ROWS,
+) -> Carried:
+    """Per evaluation of a run: improved, evaluations since, stop.
 
-def with_late_side(df: DataFrame, by: str, order: str, time: str, delay: int) -> DataFrame:
+    All rows of one evaluation arrive together, as one log line. The state has the best value of
+    every source of a run and, with ``_since`` set, how many evaluations ago the run last improved.
+    """
+    kinds = dict(df.dtypes)
+    best = F.col("_since").isNull()
+
+    def per_source(batch: DataFrame) -> DataFrame:
+        v = F.col(value).cast("double")
+        finite = F.when(F.abs(v) < float("inf"), v)  # NaN is no smaller
+        return batch.groupBy(by, step, source).agg(F.min(finite).alias("_v"))
+
+    def work(batch: DataFrame, state: DataFrame) -> DataFrame:
+        d = Ordered(per_source(batch), [by, source], [step], limit).add(_b=min_before(F.col("_v"))).result()
+        d = _with_state(d, state.where(best).select(by, source, "_best"), [by, source])
+        bar = F.coalesce(F.least("_b", "_best"), F.lit(float("inf")))
+        hit = F.coalesce(F.col("_v") < bar, F.lit(False))
+        evals = d.groupBy(by, step).agg(F.bool_or(hit).alias("improved"))
+        e = Ordered(evals, [by], [step], limit).add(_rn=row_number())
+        e = e.add(_at=carried(F.when(F.col("improved"), F.col("_rn")))).result()
+        e = _with_state(e, state.where(~best).select(by, "_since"), [by])
+        before = F.col("_rn") + F.coalesce("_since", F.lit(0))
+        since = F.when(F.col("_at").isNull(), before).otherwise(F.col("_rn") - F.col("_at"))
+        stop = (F.lit(n) > 0) & (F.col(step) >= min_steps) & (since >= n)
+        return e.select(by, F.col(step).cast("long").alias(step), "improved", since.alias("since"), stop.alias("stop"))
+
+    def keep(batch: DataFrame, written: DataFrame, state: DataFrame) -> DataFrame:
+        new = per_source(batch).select(by, source, F.col("_v").alias("_best"))
+        bests = state.where(best).select(by, source, "_best").unionByName(new)
+        bests = bests.groupBy(by, source).agg(F.min("_best").alias("_best"))
+        last = written.select(by, step, F.col("since").alias("_since"))
+        last = last.unionByName(state.where(~best).select(by, F.lit(None).cast("long").alias(step), "_since"))
+        # rows of the state have no step, so they count only where the run had no new evaluation
+        since = last.groupBy(by).agg(F.coalesce(F.max_by("_since", step), F.max("_since")).alias("_since"))
+        return bests.unionByName(since, allowMissingColumns=True)
+
+    schema = f"{by} {kinds[by]}, {step} long, improved boolean, since long, stop boolean"
+    state = f"{by} {kinds[by]}, {source} {kinds[source]}, _best double, _since long"
+    return Carried(df.select(by, step, source, value), schema, state, work, keep)
+
+
+def with_late_side(
+    df: DataFrame, by: str, order: str, time: str, delay: int, limit: int = MAX_GROUP_ROWS
+) -> Carried:
     """Adds ``late`` instead of dropping rows: more than ``delay`` behind the newest of the run.
 
     A watermark would drop such rows without a word; here they keep their place on the time
     axis and can be sent to a side table.
     """
     kinds = dict(df.dtypes)
+
+    def work(batch: DataFrame, state: DataFrame) -> DataFrame:
+        d = Ordered(batch, [by], [order], limit).add(_low=min_before(-F.col(time))).result()
+        newest = F.greatest(-F.col("_low"), F.col("_last"))
+        late = F.coalesce(F.col(time) < newest - delay, F.lit(False))
+        return _with_state(d, state, [by]).select(by, order, time, late.alias("late"))
+
+    def keep(batch: DataFrame, written: DataFrame, state: DataFrame) -> DataFrame:
+        return _newest(state, batch.select(by, F.col(time).alias("_last")), by)
+
     schema = ", ".join(f"{c} {kinds[c]}" for c in (by, order, time)) + ", late boolean"
-    return (
-        df.select(by, order, time)
-        .groupBy(by)
-        .transformWithStateInPandas(_Late(by, order, time, delay), schema, "append", "None")
-    )
+    return Carried(df.select(by, order, time), schema, f"{by} {kinds[by]}, _last {kinds[time]}", work, keep)
 
 
 def new_status(df: DataFrame, line: str, time: str | None = None, delay: str = "1 hour") -> DataFrame:
@@ -202,12 +224,27 @@ def perf_time_windows(
     return out.select(by, F.col("_w.start").alias("start"), "step_s", "n")
 
 
-def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
+def run_available(df: DataFrame | Carried, mode: str = "append") -> DataFrame:
     """Runs a stream over all data that is there now and returns what it wrote.
 
     ``append`` writes each row once. ``complete`` writes the whole result per batch into a
     folder of its own, so a repeated batch replaces itself; the last one is returned.
     """
+    if isinstance(df, Carried):
+        spark = df.stream.sparkSession
+        base = scratch_path(spark, "stream")
+        seen: list[int] = []
+        save = df.saver(base)
+
+        def counted(batch: DataFrame, number: int) -> None:
+            save(batch, number)
+            seen.append(number)
+
+        writer = df.stream.writeStream.option("checkpointLocation", f"{base}/checkpoint")
+        writer.trigger(availableNow=True).foreachBatch(counted).start().awaitTermination()
+        if not seen:
+            return spark.createDataFrame([], df.schema)
+        return spark.read.schema(df.schema).parquet(*[f"{base}/out/batch={i}" for i in sorted(set(seen))])
     spark = df.sparkSession
     base = scratch_path(spark, "stream")
     schema: StructType = df.schema

@@ -31,15 +31,17 @@ def rows(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-def test_monotonic_steps(table, stream):
+@pytest.mark.parametrize("limit", [1_000_000, 5])  # 5: every run is split over ranges
+def test_monotonic_steps(table, stream, limit):
     want = D.monotonic_step(table.select("run", "pos", "step"), "run", "pos", "step")
-    got = G.run_available(G.monotonic_step(stream, "run", "pos", "step"))
+    got = G.run_available(G.monotonic_step(stream, "run", "pos", "step", limit))
     assert rows(got, "run", "pos", "step") == rows(want, "run", "pos", "step")
 
 
-def test_early_stop(table, stream):
+@pytest.mark.parametrize("limit", [1_000_000, 5])
+def test_early_stop(table, stream, limit):
     want = D.patience(table, ["run"], "pos", "split", "v", 4, 20)
-    got = G.run_available(G.early_stop(stream, "run", "pos", "split", "v", 4, 20))
+    got = G.run_available(G.early_stop(stream, "run", "pos", "split", "v", 4, 20, limit))
     cols = ["run", "pos", "improved", "since", "stop"]
     assert rows(got, *cols) == rows(want, *cols)
 
@@ -58,8 +60,9 @@ def test_sessions(table, stream):
     assert rows(got, "run", "n") == rows(want, "run", "count")
 
 
-def test_late_rows_are_flagged_not_dropped(stream):
-    got = G.run_available(G.with_late_side(stream, "run", "pos", "us", 2_000_000))
+@pytest.mark.parametrize("limit", [1_000_000, 5])
+def test_late_rows_are_flagged_not_dropped(stream, limit):
+    got = G.run_available(G.with_late_side(stream, "run", "pos", "us", 2_000_000, limit))
     assert got.count() == 120
     newest, want = {}, []
     for run, pos, _, _, _, us in sorted(DATA, key=lambda r: r[1]):
