@@ -307,6 +307,13 @@ def remap_axes(p: Column, axes: Sequence[tuple[int, int]]) -> Column:
     return array(*[p[i] * float(sign) for i, sign in axes])
 
 
+@by_parts
+def remap_pose_axes(m: Column, axes: Sequence[tuple[int, int]]) -> Column:
+    """A pose whose sensor is described in another axis convention; its place stays the same."""
+    rows = [[*[m[4 * i + j] * float(sign) for j, sign in axes], m[4 * i + 3]] for i in range(3)]
+    return array(*[x for row in rows for x in row], *[m[12 + k] for k in range(4)])
+
+
 # fixed values: axis conventions as (source index, sign) per target axis
 CAMERA_FROM_FORWARD_LEFT_UP = ((1, -1), (2, -1), (0, 1))  # x fwd, y left, z up -> camera
 FORWARD_LEFT_UP_FROM_CAMERA = ((2, 1), (0, -1), (1, -1))  # camera -> x fwd, y left, z up

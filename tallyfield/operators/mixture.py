@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfield.functions.rand import Draw, between, hashed, normal, pick
@@ -55,12 +55,14 @@ def mixture(
     order: Sequence[str] = ("key",),
     draw: Draw | None = None,
     limit: int = MAX_GROUP_ROWS,
+    rank: int = 0,
 ) -> DataFrame:
     """Records of ``batches`` batches, drawn with replacement, ``counts`` of each source in each.
 
-    Empty sources are skipped. One row per slot: ``batch``, ``slot``, then the record. Slots are
-    spread over tasks by batch and meet their record by (source, row), which is uniform, so no
-    record key is hot.
+    Empty sources are skipped. One row per slot: ``batch``, ``slot`` in its source, ``place``, the
+    shuffled 0-based position in the batch, then the record. Each ``rank`` of several workers has
+    draws of its own; ``counts`` are those of one rank (see ``batch_counts``). Slots are spread over
+    tasks by batch and meet their record by (source, row), which is uniform, so no record key is hot.
     """
     draw = draw or hashed()
     indexed = row_index(records, [source], order, limit)
@@ -92,8 +94,14 @@ def mixture(
         )
     )
     key = F.col("batch") * 100003 + F.col("slot")
-    u = draw("mixture", key, F.col("source"), F.col("batch"), F.col("slot"))
-    drawn = slots.withColumn("row", F.floor(u * F.col("_size")))
+    keys = [key, F.col("source"), F.col("batch"), F.col("slot"), F.lit(rank)]
+    # a batch is as small as its counts say
+    shuffled = Window.partitionBy("batch").orderBy(draw("mixture.place", *keys), "source", "slot")
+    drawn = slots.select(
+        "*",
+        F.floor(draw("mixture", *keys) * F.col("_size")).alias("row"),
+        (F.row_number().over(shuffled) - 1).cast("long").alias("place"),
+    )
     named = indexed.withColumn("_s", F.col(source).cast("string"))
     out = drawn.drop("_size").withColumnRenamed("source", "_s").join(named, ["_s", "row"])
     return out.drop("_s", "row")

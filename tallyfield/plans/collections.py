@@ -343,7 +343,7 @@ def predictions_scored(spark, sf):
 
 @query(
     "rig_lidar_poses",
-    "SELECT s_suppkey AS rig, 0.0E0 AS x, -1.5E0 AS y, s_suppkey - 1.0E0 AS z FROM supplier",
+    "SELECT s_suppkey AS rig, 0.0E0 AS x, -1.5E0 AS y, s_suppkey - 1.0E0 AS z, 1.0E0 AS right, 1.0E0 AS down, 1.0E0 AS forward FROM supplier",
 )
 def rig_lidar_poses(spark, sf):
     s = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("rig"))
@@ -352,5 +352,7 @@ def rig_lidar_poses(spark, sf):
     lid = s.select("rig", F.lit("lidar").alias("name"), V.se3(eye, vec(F.col("rig"), 0.0, 1.5)).alias("pose"))
     optical = vec(0.0, -1.0, 0.0, 0.0, 0.0, -1.0, 1.0, 0.0, 0.0)
     d = R.rig_pose(cam.unionByName(lid), "cam", "lidar", optical)
+    d = d.withColumn("pose", V.remap_pose_axes(F.col("pose"), V.CAMERA_FROM_FORWARD_LEFT_UP))
     t = V.parts_of(V.translation_of(F.col("pose")))
-    return d.select("rig", *[(t[i] + 0.0).alias(n) for i, n in enumerate("xyz")])
+    facing = [F.col("pose")[5 * i].alias(n) for i, n in enumerate(("right", "down", "forward"))]
+    return d.select("rig", *[(t[i] + 0.0).alias(n) for i, n in enumerate("xyz")], *facing)

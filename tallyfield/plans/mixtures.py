@@ -37,7 +37,8 @@ def batch_counts(spark, sf):
 
 @query(
     "mixture_batches",
-    f"""SELECT batch, CAST(ds AS BIGINT) AS ds, slot, rec FROM (SELECT b.batch, s.ds, t.slot, CAST(floor(({linear_sql('mixture', '(b.batch * 100003 + t.slot)', 3)}) * z.n) AS BIGINT) AS row
+    f"""SELECT batch, CAST(ds AS BIGINT) AS ds, slot, place, rec FROM (SELECT b.batch, s.ds, t.slot, CAST(floor(({linear_sql('mixture', '(b.batch * 100003 + t.slot)', 3)}) * z.n) AS BIGINT) AS row,
+  row_number() OVER (PARTITION BY b.batch ORDER BY {linear_sql('mixture.place', '(b.batch * 100003 + t.slot)', 3)}, s.ds, t.slot) - 1 AS place
  FROM (SELECT range AS batch FROM range(40)) b CROSS JOIN (VALUES (0, 32), (1, 20), (2, 12)) AS s(ds, k) CROSS JOIN (SELECT range AS slot FROM range(32)) t
  JOIN (SELECT ds, count(*) AS n FROM fx_records GROUP BY ds) z ON z.ds = s.ds WHERE t.slot < s.k) d
  JOIN (SELECT ds, rec, row_number() OVER (PARTITION BY ds ORDER BY rec) - 1 AS row FROM fx_records) r USING (ds, row)""",
@@ -48,7 +49,7 @@ def mixture_batches(spark, sf):
     d = M.mixture(
         fx.records(spark, sf), counts, 40, source="ds", order=["rec"], draw=linear(3)
     )
-    return d.select("batch", "ds", F.col("slot").cast("long").alias("slot"), "rec")
+    return d.select("batch", "ds", F.col("slot").cast("long").alias("slot"), "place", "rec")
 
 
 @query(

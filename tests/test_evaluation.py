@@ -132,3 +132,23 @@ def test_missing_overlap_is_a_miss_and_missing_score_last(spark):
     assert got == {"a": 0.0, "b": 0.5}
     b = spark.createDataFrame([(nan, 900.0, 900), (900.0, None, 900)], "h double, w double, n int")
     assert {r[0] for r in b.select(gate_status(F.col("h"), F.col("w"), F.col("n"))).collect()} == {"rejected_box"}
+
+
+def test_metric_summary_of_missing_predictions(spark):
+    """A row without a prediction is a miss in every precision and counts; means skip it."""
+    nan = float("nan")
+    data = [
+        ("m", 1, 10.0, 0.8, 0.9, 0.5, 5.0), ("m", 2, 30.0, 0.3, 0.8, 1.5, 12.0),
+        ("m", 3, None, None, None, None, None), (None, 4, nan, nan, nan, nan, 50.0),
+    ]
+    d = spark.createDataFrame(data, "method string, key int, mpjpe double, iou double, score double, err double, depth double")
+    got = E.metric_summary(d, ["method"], ["mpjpe"], iou="iou", score="score", key="key", error="err", depth="depth")
+    rows = {r["method"]: r for r in got.collect()}
+    r = rows["m"]
+    assert (r["n"], r["mpjpe"]) == (3, 20.0)
+    assert [round(r[c], 6) for c in ("ap_25", "ap_50", "ap_70")] == [round(2 / 3, 6), round(1 / 3, 6), round(1 / 3, 6)]
+    assert round(r["map"], 6) == round(4 / 9, 6)
+    assert [(b["bin"], b["error"], b["n"]) for b in r["by_distance"]] == [
+        ("0-10m", 0.5, 1), ("10-20m", 1.5, 1), ("20-30m", None, 0), (">30m", None, 0)
+    ]
+    assert rows[None]["n"] == 1 and rows[None]["mpjpe"] is None and rows[None]["map"] == 0.0

@@ -25,6 +25,13 @@ def test_every_batch_has_its_counts(spark):
     again = M.mixture(d.repartition(7), counts, 30, limit=50)
     key = ["batch", "source", "slot", "key"]
     assert sorted(map(tuple, out.select(*key).collect())) == sorted(map(tuple, again.select(*key).collect()))
+    places = {b: sorted(r["place"] for r in out.where(F.col("batch") == b).collect()) for b in (0, 7)}
+    assert places == {0: list(range(10)), 7: list(range(10))}
+    # batches are shuffled, and another rank draws other records
+    assert [r["source"] for r in out.where("batch = 0").orderBy("place").collect()] != sorted("a" * 4 + "b" * 5 + "c")
+    other = M.mixture(d, counts, 30, rank=1)
+    same = out.select(*key, "place").intersect(other.select(*key, "place")).count()
+    assert same < 30
 
 
 def test_uniform_and_normal_draws(spark):
