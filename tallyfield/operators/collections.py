@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.text import parse_kv
 from tallyfield.operators.ordered import MAX_GROUP_ROWS
-from tallyfield.operators.quantiles import join_groups, quantiles
+from tallyfield.operators.quantiles import join_groups, quantiles, quantiles_of
 from tallyfield.operators.sequences import fill_group, speed
 
 
@@ -35,10 +35,17 @@ def camera_stats(
     by = [group]
     parts = [
         moved.groupBy(group).agg(F.count(F.lit(1)).alias("frames")),
-        quantiles(moved, by, F.col("z"), spread_of("height"), limit=limit),
-        quantiles(moved, by, F.col("pitch"), spread_of("pitch"), limit=limit),
-        quantiles(moved, by, F.col("hfov"), {"hfov_median": 0.5}, limit=limit),
-        quantiles(moved, by, F.col("speed"), {"speed_median": 0.5}, limit=limit),
+        quantiles_of(
+            moved,
+            by,
+            [
+                (F.col("z"), spread_of("height")),
+                (F.col("pitch"), spread_of("pitch")),
+                (F.col("hfov"), {"hfov_median": 0.5}),
+                (F.col("speed"), {"speed_median": 0.5}),
+            ],
+            limit,
+        ),
     ]
     return join_groups(parts, by)
 
@@ -101,8 +108,7 @@ def label_stats(
     d = df.select(*by, depth.alias("_d"), side.alias("_s"), beta0.alias("_b"))
     parts = [
         d.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.stddev_pop("_b").alias("beta0_std")),
-        quantiles(d, by, F.col("_d"), spread_of("depth"), limit=limit),
-        quantiles(d, by, F.col("_s"), {"side_median": 0.5}, limit=limit),
+        quantiles_of(d, by, [(F.col("_d"), spread_of("depth")), (F.col("_s"), {"side_median": 0.5})], limit),
     ]
     return join_groups(parts, by)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.pose import shift_joints
 from tallyfield.operators.ordered import MAX_GROUP_ROWS
-from tallyfield.operators.quantiles import join_groups, no_nan, quantiles
+from tallyfield.operators.quantiles import join_groups, no_nan, quantiles, quantiles_of
 
 
 def place_at_centroid(pred: DataFrame, centroids: DataFrame, on: str, joints: str) -> DataFrame:
@@ -143,9 +143,8 @@ def band_report(
 
 def label_set_report(df: DataFrame, by: Sequence[str], values: Sequence[str], limit: int = MAX_GROUP_ROWS):
     """Median of several error columns per label set, each over its own known values."""
-    parts = [df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))]
-    parts += [quantiles(df, by, F.col(v), {v: 0.5}, limit=limit) for v in values]
-    return join_groups(parts, by)
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return join_groups([counts, quantiles_of(df, by, [(F.col(v), {v: 0.5}) for v in values], limit)], by)
 
 
 def mean_vector(df: DataFrame, by: Sequence[str], col: str, name: str | None = None) -> DataFrame:

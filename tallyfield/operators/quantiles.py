@@ -63,6 +63,33 @@ def quantiles(
     return ranked.groupBy(*by).agg(*out)
 
 
+def quantiles_of(
+    df: DataFrame,
+    by: Sequence[str],
+    wanted: Sequence[tuple[Column, dict[str, float]]],
+    limit: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Named quantiles of several columns, each over its own known values, in one pass.
+
+    Groups without any known value have no row; a column without one is NULL.
+    """
+    by = list(by)
+    cells = [
+        F.struct(F.lit(i).alias("_i"), no_nan(col.cast("double")).alias("_x")) for i, (col, _) in enumerate(wanted)
+    ]
+    # the computed array is exploded as it is, so the rows below are read once
+    long = df.select(*by, F.explode(F.array(*cells)).alias("_c")).select(*by, "_c._i", "_c._x")
+    levels = sorted({q for _, names in wanted for q in names.values()})
+    each = quantiles(long, [*by, "_i"], F.col("_x"), {f"_q{k}": q for k, q in enumerate(levels)}, limit=limit)
+    return each.groupBy(*by).agg(
+        *[
+            F.max(F.when(F.col("_i") == i, F.col(f"_q{levels.index(q)}"))).alias(name)
+            for i, (_, names) in enumerate(wanted)
+            for name, q in names.items()
+        ]
+    )
+
+
 def join_groups(tables: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
     """Side-by-side join of per-group tables on null-safe keys."""
     out = tables[0]

@@ -182,3 +182,20 @@ def test_greedy_match_without_keys_is_the_same_split(spark):
     d = spark.createDataFrame(rows, "f int, label string, mask string, score double")
     got = [[tuple(r) for r in greedy_match(d, ["f"], "label", "mask", frame_limit=n).collect()] for n in (0, 100)]
     assert got[0] == got[1] == [(1, "a", "x", 0.9)]
+
+
+@pytest.mark.parametrize("limit", [1, 100])
+def test_quantiles_of_several_columns_are_those_of_each(spark, limit):
+    from tallyfield.operators.quantiles import quantiles_of
+
+    inf, nan = float("inf"), float("nan")
+    data = [("a", 1.0, inf), ("a", 4.0, None), ("a", 2.0, inf), ("b", nan, 3.0), (None, 5.0, -inf), ("c", None, nan)]
+    d = spark.createDataFrame(data, "g string, x double, y double")
+    names = {"x": {"x_m": 0.5, "x_p": 0.9}, "y": {"y_m": 0.5}}
+    got = quantiles_of(d, ["g"], [(F.col(c), n) for c, n in names.items()], limit).collect()
+    want = {c: {r["g"]: r for r in quantiles(d, ["g"], F.col(c), n).collect()} for c, n in names.items()}
+    assert {r["g"] for r in got} == {"a", "b", None}
+    for r in got:
+        for c, n in names.items():
+            for name in n:
+                assert r[name] == (want[c][r["g"]][name] if r["g"] in want[c] else None)
