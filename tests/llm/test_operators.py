@@ -250,12 +250,14 @@ def test_archive_edges(spark):
 
 
 def test_pipeline_stages_take_odd_tables(spark, odd, tmp_path):
-    for table in (odd, odd.limit(0)):
+    # the long text has fewer letters than digits, so it fails a quality rule; the second run starts
+    # behind that stage, with all odd rows
+    for table, start, want in ((odd, 0, [3, 1]), (odd, 1, [8]), (odd.limit(0), 0, [0, 0])):
         d, seen = table, []
-        for name, stage in corpus_pipeline.STAGES:
-            stage(spark, d, SF).write.parquet(path := str(tmp_path / f"{name}-{table is odd}"))
+        for name, stage in corpus_pipeline.STAGES[start:]:
+            stage(spark, d, SF).write.parquet(path := str(tmp_path / f"{name}-{start}-{table is odd}"))
             before, d = d, spark.read.parquet(path)
             seen.append(d.count())
             if name != "sharding":
                 assert d.columns == before.columns
-        assert seen[:2] == ([4, 2] if table is odd else [0, 0])
+        assert seen[: len(want)] == want
