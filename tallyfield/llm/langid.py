@@ -137,11 +137,11 @@ def identified(
     n = dict(counts.collect())  # PLACES + 1 rows
     total = n.pop(-1, 0)
     idf = np.array([np.log((1 + total) / (1 + n.get(i, 0))) + 1 for i in range(PLACES)], np.float32)
-    # the lowest hashes of each language: a share of the hash range that holds `sample` texts or more
-    h = F.shiftrightunsigned(F.xxhash64("_text"), 1)
-    per = train.groupBy("_lang").agg(F.count(F.lit(1)).alias("_rows"))
-    share = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("_rows"))
-    low = train.select("_lang", "_text", h.alias("h")).join(per.select("_lang", share.alias("_share")), "_lang")
+    # the lowest hashes of each language: a share of the hash range that holds `sample` distinct texts or more
+    hashed = train.select("_lang", "_text", F.shiftrightunsigned(F.xxhash64("_text"), 1).alias("h"))
+    per = hashed.select("_lang", "h").distinct().groupBy("_lang").agg(F.count(F.lit(1)).alias("_texts"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("_texts"))
+    low = hashed.join(per.select("_lang", share.alias("_share")), "_lang")
     low = low.where(F.col("h") <= F.col("_share") * float((1 << 63) - 1)).groupBy("_lang", "h").agg(F.first("_text").alias("_text"))
     fitted = checkpoint(low.groupBy("_lang").applyInPandas(_fit(idf, k, sample), "lang string, lowest double, centre binary"))
     if fitted.count() * PLACES * 4 > MAX_MODEL:

@@ -106,6 +106,18 @@ def test_language_edges(odd):
     assert langid.identified(odd.limit(0), F.lit(False)).count() == 0
 
 
+def test_language_of_many_copies_of_few_texts(spark):
+    # 40,000 rows of 3 texts beside a language of distinct ones: all 3 texts are in the sample
+    few = [" ".join(f"{w}{x}" for x in "abcdefgh") for w in ("zor", "quip", "vlam")]
+    copies = spark.range(40_000).select("id", F.get(F.array(*map(F.lit, few)), (F.col("id") % 3).cast("int")), F.lit("xx"))
+    other = spark.createDataFrame([(i, f"the house of number {i} is big", "en") for i in range(50)], "doc_id long, text string, lang string")
+    table = copies.toDF("doc_id", "text", "lang").union(other)
+    got = langid.identified(table, F.lit(False)).join(table.select("doc_id", "lang", "text").distinct(), "doc_id")
+    got = got.where("doc_id >= 50").groupBy("text").agg(F.min("lang_pred"), F.max("lang_pred"), F.min("score")).collect()
+    assert {r[0] for r in got} == set(few)
+    assert all(r[1] == r[2] == "xx" and r[3] > 0.999 for r in got)
+
+
 @pytest.mark.parametrize("limit", [lm.bundles.__defaults__[0], 3000])
 def test_scores_against_brute_force(docs, odd, monkeypatch, limit):
     monkeypatch.setattr(lm, "bundles", lambda f, c, b=lm.bundles: b(f, c, limit))
