@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 import tallyfield
 from tallyfield.llm import decontam, jaccard, mixing, ring, rules
-from tallyfield.llm.text import drop_ids, keep_ids
-from tallyfield.session import scratch_path
+from tallyfield.llm.text import drop_ids
+from tallyfield.session import checkpoint, scratch_path
 
 # Python workers need not have the package on their path: its functions travel with the task
 cloudpickle.register_pickle_by_value(tallyfield)
@@ -31,38 +31,54 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.judged(whole_rows, key="_all").where("kept").select("_all.*")
 
 
+def numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a row number, and the name of its column.
+
+    Written, so that every read of the stage, and one after a lost executor, sees the same numbers.
+    """
+    number = "_nth" + "_" * max(len(c) for c in docs.columns)  # no column of the documents
+    path = scratch_path(spark, "numbered")
+    docs.withColumn(number, F.monotonically_increasing_id()).write.parquet(path, compression="zstd")
+    return spark.read.parquet(path), number
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id.
+    """One row of each group of near copies, one of the smallest id.
 
-    Of rows that repeat an id one stays. Rows with a null id or without words are nobody's copy.
+    Rows are told apart by number: those that repeat an id stay or go each by its own text. Rows with
+    a null id or without words are nobody's copy.
     """
-    joined = jaccard.joined(docs)
-    left = drop_ids(docs, joined.where("doc_id <> class_id"))
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    once = drop_ids(left, twice)
-    return once.unionByName(keep_ids(left, twice).dropDuplicates(["doc_id"]))
+    rows, number = numbered(spark, docs)
+    known = rows.where("doc_id is not null")
+    linked = jaccard.joined(known, key=number).where("n_links > 0").select(F.col(number).alias("_of"), "class_id")
+    place = F.struct(F.col("doc_id").alias("a"), F.xxhash64("text").alias("b"), F.col(number).alias("c"))
+    order = known.select(F.col(number).alias("_row"), place.alias("_order"))
+    members = checkpoint(linked.join(order, F.col("_of") == F.col("_row")).select("class_id", "_order"))
+    first = members.groupBy("class_id").agg(F.min("_order").alias("_first"))
+    gone = members.join(first, "class_id").where("_order.c <> _first.c")
+    return drop_ids(rows, gone.select(F.col("_order.c").alias(number)), number).drop(number)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, not even with a few edits.
+    """Rows that hold no benchmark item, not even with a few edits.
 
-    A null or empty text holds none. A row with a null id stays only if no such row holds an item.
+    A null or empty text holds none. Rows are told apart by number, whatever their ids.
     """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return drop_ids(docs, decontam.leaks(docs, items))
+    rows, number = numbered(spark, docs)
+    return drop_ids(rows, decontam.leaks(rows, items, key=number), number).drop(number)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as its source's target asks for, none to three.
+    """As many copies of each row as its source's target asks for, none to three.
 
-    Rows that share an id, null included, get equally many copies. Blank texts weigh nothing.
+    Rows are told apart by number, whatever their ids. Blank texts weigh nothing.
     """
-    copies = mixing.mixed(docs, WEIGHTS).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    copies = copies.where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    extra = "_nth" + "_" * max(len(c) for c in docs.columns)  # no column of the documents
-    each = F.explode(F.sequence(F.lit(1).cast("long"), copies["_copies"])).alias(extra)
-    return taken.select(*[docs[c] for c in docs.columns], each).drop(extra)
+    rows, number = numbered(spark, docs)
+    copies = mixing.mixed(rows, WEIGHTS, row=number).where("copies > 0").select(F.col(number).alias("_row"), F.col("copies").alias("_copies"))
+    taken = rows.join(copies, rows[number] == copies["_row"])
+    each = F.explode(F.sequence(F.lit(1).cast("long"), copies["_copies"])).alias(number)
+    return taken.select(*[rows[c] for c in docs.columns], each).drop(number)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

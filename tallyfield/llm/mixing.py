@@ -128,9 +128,11 @@ def rounded(rows: DataFrame, seed: int = 0) -> DataFrame:
 
 def mixed(
     docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_rate: int = MAX_RATE, seed: int = 0,
-    key: str = "doc_id", source: str = "source", size: Column | None = None,
+    key: str = "doc_id", source: str = "source", size: Column | None = None, row: str | None = None,
 ) -> DataFrame:
-    """(key, size, source, source_size, target, copies) of every row.
+    """(key, size, source, source_size, target, copies) of every row, and its ``row`` if given.
+
+    ``row`` is a column of row numbers, which tell rows apart that share a key.
 
     Size is the number of words unless a column is given. A null source is a source of its own; a
     null or empty text has size 0, rate and copies as its source. Rows that repeat count one each.
@@ -140,8 +142,11 @@ def mixed(
         F.col(key).alias("_key"), F.col(source).cast("string").alias("source"),
         (count_words() if size is None else size.cast("long")).alias("size"),
         F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("_tie"),
+        *([] if row is None else [F.col(row).alias("_row")]),
     )
-    rows = checkpoint(rows.withColumn("_row", F.monotonically_increasing_id()))
+    if row is None:
+        rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    rows = checkpoint(rows)
     per = rows.groupBy("source").agg(F.sum("size").alias("mass"))
     goal = checkpoint(shares(per, weights, max_rate))
     rates = balanced(goal.select("source", "mass"), [("source", goal.select("source", "target"))], max_rate)
@@ -151,4 +156,5 @@ def mixed(
     )
     rows = rows.join(checkpoint(goal), rows["source"].eqNullSafe(F.col("_s"))).drop("_s")
     out = rounded(rows, seed)
-    return out.select(F.col("_key").alias(key), "size", "source", "source_size", "target", "copies")
+    number = [] if row is None else [F.col("_row").alias(row)]
+    return out.select(F.col("_key").alias(key), "size", "source", "source_size", "target", "copies", *number)

@@ -273,3 +273,28 @@ def test_pipeline_stages_take_odd_tables(spark, odd, tmp_path):
             if name != "sharding":
                 assert d.columns == before.columns
         assert seen[: len(want)] == want
+
+
+def test_pipeline_decides_by_row_not_by_id(spark, tmp_path):
+    prose = [" ".join(f"t{i}w{j}" for j in range(60)) for i in range(6)]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 40").first().text
+    schema = "doc_id long, text string, source string"
+    # one id for different texts: each stays; a copy goes, another row of its id does not
+    rows = [(1, prose[0], "a"), (1, prose[1], "a"), (1, prose[1], "a"), (2, prose[2], "a"), (3, prose[2], "a"), (3, prose[3], "a"), (None, prose[4], "a")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, schema), SF)
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted(
+        [("1", prose[0]), ("1", prose[1]), ("2", prose[2]), ("3", prose[3]), ("None", prose[4])]
+    )
+    # a row of an id, null included, holds an item: the others stay
+    rows = [(None, f"so {item} then", "a"), (None, prose[0], "a"), (1, item, "a"), (1, prose[1], "a"), (2, None, "a")]
+    got = corpus_pipeline.decontaminated(spark, spark.createDataFrame(rows, schema), SF)
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted([("None", prose[0]), ("1", prose[1]), ("2", "None")])
+    # a third of the rows share the null id, over all sources: each source meets its target
+    rows = [(None if i % 3 == 0 else i, f"x{i} " * (20 + i % 7), "abc"[i // 200]) for i in range(600)]
+    docs = spark.createDataFrame(rows, schema)
+    goal = {r.source: r.target for r in mixing.mixed(docs, corpus_pipeline.WEIGHTS).collect()}
+    mix = corpus_pipeline.mixture(spark, docs, SF)
+    taken = Counter()
+    for r in mix.collect():
+        taken[r.source] += len(r.text.split())
+    assert mix.columns == docs.columns and all(abs(taken[s] - goal[s]) <= 27 for s in goal)
