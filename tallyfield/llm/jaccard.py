@@ -30,7 +30,7 @@ BANDS, ROWS = 24, 6
 BLOCK_TEXTS = 256  # texts of one block
 BLOCK_GRAMS = 400_000  # n-grams of one block; a longer text is a block of its own
 
-_SKETCH = "row long, grams int, same string, bands array<long>"
+_SKETCH = "row long, h1 long, h2 long, grams int, same string, bands array<long>"
 
 
 class _Hashes(dict):
@@ -64,10 +64,10 @@ def _sketch(n: int, bands: int, rows: int, seed: int):
         known = _Hashes()
         for frame in frames:
             out = []
-            for row, text in zip(frame["row"].tolist(), frame["text"].tolist(), strict=True):
+            for row, h1, h2, text in zip(*(frame[c].tolist() for c in ("row", "h1", "h2", "text")), strict=True):
                 grams = gram_set(text, n, known) if isinstance(text, str) else np.zeros(0, np.uint64)
                 if not len(grams):
-                    out.append((row, 0, None, None))
+                    out.append((row, h1, h2, 0, None, None))
                     continue
                 low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
                 for at in range(0, len(grams), 4096):  # bounded memory for very long texts
@@ -78,8 +78,8 @@ def _sketch(n: int, bands: int, rows: int, seed: int):
                 mixed = low.reshape(bands, rows)
                 keys = [xxhash.xxh3_64_intdigest(mixed[b].tobytes(), b) for b in range(bands)]
                 same = f"{len(grams):x}-{xxhash.xxh3_128_hexdigest(grams.tobytes())}"
-                out.append((row, len(grams), same, np.array(keys, np.uint64).view(np.int64)))
-            yield pd.DataFrame(out, columns=["row", "grams", "same", "bands"])
+                out.append((row, h1, h2, len(grams), same, np.array(keys, np.uint64).view(np.int64)))
+            yield pd.DataFrame(out, columns=["row", "h1", "h2", "grams", "same", "bands"])
 
     return run
 
@@ -143,23 +143,27 @@ def joined(
     ``threshold`` or more, equal ones included, and ``class_id`` the smallest key of all rows that
     hang together by links. Texts of fewer than n words have one n-gram, of all words. Null and blank
     texts have none: they link to nothing and are classes of their own, as are rows with a null key,
-    which keep a null class. Rows that repeat a key count as rows. Other columns are not looked at.
+    which keep a null class. Rows that repeat a key count as rows, each by its own text. Other columns
+    are not looked at.
     """
-    base = docs.select(F.col(key).cast("long").alias("row"), F.col(text).alias("text"))
+    # two hashes of 64 bits tell texts of one key apart
+    base = docs.select(
+        F.col(key).cast("long").alias("row"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h1"),
+        F.xxhash64(F.lit(seed), F.col(text)).alias("h2"),
+    )
     sketch = checkpoint(base.where("row is not null").mapInPandas(_sketch(n, bands, rows, seed), _SKETCH))
     full = sketch.where("grams > 0")
-    # classes of equal sets: equal rows are combined before the shuffle, however many there are
-    same = checkpoint(
-        full.groupBy("same").agg(
-            F.min("row").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("grams").alias("grams"),
-            F.first("bands").alias("bands"),
-        )
+    # classes of equal sets, numbered: equal rows are combined before the shuffle, however many there are
+    same = full.groupBy("same").agg(
+        F.min(F.struct("row", "h1", "h2")).alias("first"), F.count(F.lit(1)).alias("copies"),
+        F.first("grams").alias("grams"), F.first("bands").alias("bands"),
     )
+    same = checkpoint(same.withColumn("id", F.monotonically_increasing_id()))
     buckets = same.select("id", F.posexplode("bands").alias("band", "h"))
     heads = buckets.groupBy("band", "h").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     near = buckets.join(heads, ["band", "h"]).where("id <> head").select("id", "head").distinct()
     groups = components(near, "id", "head").withColumnRenamed("node", "id")
-    members = groups.join(same.select("id", "copies", "grams"), "id")
+    members = groups.join(same.select("id", "first", "copies", "grams"), "id")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("texts"), F.sum("grams").alias("all_grams"))
     sizes = sizes.withColumn(
         "blocks",
@@ -168,30 +172,34 @@ def joined(
     members = members.join(sizes.select("root", "blocks"), "root").withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     )
-    # one text per class: rows that repeat a key with another text are told apart by their set
+    # one text per class: that of its first row, by key and text
     texts = base.where("row is not null").join(
-        members.withColumnRenamed("id", "row"), "row"
-    ).dropDuplicates(["row"])
+        members.select("root", "id", "copies", "blocks", "block", "first.*"), ["row", "h1", "h2"]
+    ).dropDuplicates(["id"])
     meets = F.explode(
         F.transform(
             F.sequence(F.lit(0), F.col("blocks") - 1),
             lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")),
         )
     )
-    asked = texts.select("root", F.col("row").alias("id"), "copies", "block", "text", meets.alias("m"))
+    asked = texts.select("root", "id", "copies", "block", "text", meets.alias("m"))
     asked = asked.select("root", "id", "copies", "block", "text", "m.i", "m.j")
     found = checkpoint(
         asked.groupBy("root", "i", "j").applyInPandas(_verify(n, threshold), "id long, links long, to long")
     )
     counts = found.where("id = to").groupBy("id").agg(F.sum("links").alias("links"))
     linked = components(found.where("id <> to"), "id", "to").withColumnRenamed("node", "id")
-    classes = same.select("same", "id", "copies").join(counts, "id", "left").join(linked, "id", "left")
+    classes = same.select("same", "id", "copies", F.col("first.row").alias("copy")).join(counts, "id", "left")
+    # a class is named by its smallest key, not by its smallest number
+    classes = classes.join(linked, "id", "left")
+    names = classes.where("root is not null").groupBy("root").agg(F.min("copy").alias("class"))
+    classes = classes.join(names, "root", "left")
     out = sketch.select("row", "same").join(classes, "same", "left")
     zero = F.lit(0).cast("long")
     ids = out.select(
         F.col("row").alias(key),
-        F.coalesce("root", "id", "row").alias("class_id"),
-        F.coalesce("id", "row").alias("copy_id"),
+        F.coalesce("class", "copy", "row").alias("class_id"),
+        F.coalesce("copy", "row").alias("copy_id"),
         (F.coalesce("links", zero) + F.coalesce(F.col("copies") - 1, zero)).alias("n_links"),
     )
     return ids.union(base.where("row is null").select("row", "row", "row", zero))

@@ -91,6 +91,18 @@ def test_jaccard_edges(odd):
     assert jaccard.joined(odd.limit(0)).count() == 0
 
 
+def test_jaccard_of_keys_with_several_texts(spark):
+    a, b = ([f"{c}{i}" for i in range(80)] for c in "ab")
+    near = lambda w: " ".join([*w[:-1], "end"])
+    # key 5 has two texts that resemble each other, and one that resembles those of key 3 and 9 alone
+    rows = [(5, " ".join(a)), (5, near(a)), (5, " ".join(b)), (3, near(b)), (9, " ".join(b)), (7, " ".join(f"c{i}" for i in range(80)))]
+    rows += [(7, " ".join(f"d{i}" for i in range(80)))]
+    got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.class_id, r.copy_id, r.n_links) for r in got) == sorted(
+        [(5, 5, 5, 1), (5, 5, 5, 1), (5, 3, 5, 2), (3, 3, 3, 2), (9, 3, 5, 2), (7, 7, 7, 0), (7, 7, 7, 0)]
+    )
+
+
 def test_language_held_out(docs):
     got = langid.identified(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
     x = got.join(docs.select("doc_id", "lang", F.length("text").alias("n")), "doc_id").where("held_out and n > 50")
