@@ -1,18 +1,19 @@
-"""Language-model scores from a weighted backoff automaton.
+"""Language-model scores by backoff with Dirichlet smoothing.
 
-States are the n-grams of the training texts. A state has an arc for every word seen after it, with
-the smoothed probability of that word, and a failure arc to the state without its first word, with
-the weight that smoothing leaves. Smoothing takes the shorter state's distribution as a Dirichlet
-prior of ``prior`` words, so all weights follow from plain counts:
+The model is that of a weighted backoff automaton: states are the n-grams of the training texts, with
+an arc for every word seen after them and a failure arc to the state without the first word.
+Smoothing takes the shorter state's distribution as a Dirichlet prior of ``prior`` words, so all
+weights follow from plain counts:
 
     arc      log10((c(h, w) + prior * p(w | h')) / (c(h) + prior))
     failure  log10(prior / (c(h) + prior))
 
 The root is the word distribution with half a count for every word and for one unseen word.
 
-The whole automaton need not fit anywhere: each bundle of documents asks for the counts of its own
-n-grams (see ``packed``), gets the part of the automaton that its texts can touch, and walks every
-text from left to right, following failure arcs where a word has no arc.
+No automaton is built or walked. The state before a word is known from the text alone (the n-gram
+that ends there), so the recursion is evaluated level by level, at all places of a bundle at once, on
+arrays of counts: equal scores, without a step of Python per word. Each bundle of documents asks for
+the counts of its own n-grams (see ``packed``), so the whole model need not fit anywhere.
 """
 
 from __future__ import annotations
