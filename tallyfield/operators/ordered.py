@@ -45,6 +45,11 @@ def running_sum(col: Column) -> Running:
     return Running("sum", col)
 
 
+def running_xor(col: Column) -> Running:
+    """Exclusive or of this and all earlier rows."""
+    return Running("xor", col)
+
+
 def running_min(col: Column) -> Running:
     """Minimum of this and all earlier rows."""
     return Running("min", col)
@@ -111,6 +116,8 @@ class Ordered:
             return F.row_number().over(w).cast("long")
         if op.kind == "sum":
             return F.sum(op.col).over(upto)
+        if op.kind == "xor":
+            return F.bit_xor(op.col).over(upto)
         if op.kind == "min":
             return F.min(op.col).over(upto)
         if op.kind == "max":
@@ -138,6 +145,8 @@ class Ordered:
             return F.count(F.lit(1))
         if op.kind in ("sum", "total"):
             return F.sum(F.lit(1) if op.col is None else op.col)
+        if op.kind == "xor":
+            return F.bit_xor(op.col)
         if op.kind in ("min", "min_before"):
             return F.min(op.col)
         if op.kind in ("max", "max_after"):
@@ -151,6 +160,8 @@ class Ordered:
         before = w.rowsBetween(Window.unboundedPreceding, -1)
         if op.kind in ("row_number", "sum"):
             return F.sum(part).over(before)
+        if op.kind == "xor":
+            return F.bit_xor(part).over(before)
         if op.kind in ("min", "min_before"):
             return F.min(part).over(before)
         if op.kind == "max":
@@ -171,6 +182,8 @@ class Ordered:
             return F.when(own.isNull(), carry).otherwise(
                 own + F.coalesce(carry, F.lit(0).cast("long"))
             )
+        if op.kind == "xor":
+            return own.bitwiseXOR(F.coalesce(carry, F.lit(0).cast("long")))
         if op.kind in ("min", "min_before"):
             return F.least(own, carry)
         if op.kind in ("max", "max_after"):
