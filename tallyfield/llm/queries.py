@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import chat, decontam, jaccard, langid, lm, mixing, ring, rules, tokens, warc
+from tallyfield.llm import audit, chat, decontam, jaccard, langid, lm, mixing, ring, rules, tokens, trie, warc
 from tallyfield.llm.text import fold
 from tallyfield.session import checkpoint
 
@@ -178,3 +178,87 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, looked up in the index and read from the archives just written."""
     archive = warc.Archive(table(spark, sf_dir, "pages"))
     return archive.lookup(archive.captures)
+
+
+# Conversations after their heads were replaced, as lists of turns; crc32 is worked out bit by bit:
+# each byte goes in by an exclusive or (v >= 0), then eight shifts follow (v = -1).
+REBUILT_SQL = """
+_own AS (
+  SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                            ORDER BY turn NULLS FIRST, role, text) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+_h AS (
+  SELECT c, ts, c - c % 20 AS base,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''),
+      lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda r, v: CASE WHEN v >= 0 THEN xor(r, v) ELSE xor(r >> 1, (r & 1) * 3988292384) END), 4294967295) % 4 AS h
+  FROM _own),
+_seq AS (
+  SELECT _h.c, coalesce(b.ts[1:_h.h], []) || _h.ts[_h.h + 1:] AS s FROM _h LEFT JOIN _own b ON b.c = _h.base)
+"""
+
+
+@query(
+    "op11_prefix_trie",
+    f"""WITH {REBUILT_SQL},
+_p AS (SELECT c, d, s[1:d] AS p, len(s) AS n FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM _seq)),
+_n AS (
+  SELECT d, p, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256
+  FROM _p GROUP BY d, p),
+_t AS (
+  SELECT a.d, a.p,
+    count(*) FILTER (NOT EXISTS (FROM _n k WHERE k.d = u.d + 1 AND k.p[1:u.d] = u.p)) AS n_leaves,
+    count(*) FILTER (u.d = a.d + 1) AS n_children,
+    sum(CASE WHEN u.d = 0 THEN 0 ELSE (u.n_convs - 1) * len(regexp_extract_all(u.p[u.d].text, '[^\\x20\\x09-\\x0D]+')) END) AS saved
+  FROM _n a JOIN _n u ON u.d >= a.d AND u.p[1:a.d] = a.p GROUP BY a.d, a.p)
+SELECT n.conv_id, n.d::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs, t.n_children, t.n_leaves,
+  t.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM _n n JOIN _t t ON t.d = n.d AND t.p = n.p LEFT JOIN _n up ON up.d = n.d - 1 AND up.p = n.p[1:n.d - 1]""",
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shared beginning of the conversations, with up to three turns taken from one in twenty."""
+    turns = trie.numbered(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv")
+    n = F.crc32(conv.cast("string").cast("binary")) % 4
+    return trie.trie(*trie.rebuilt(turns, conv - conv % 20, n, 3))
+
+
+@query(
+    "op13_filter_audit",
+    r"""WITH _w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws,
+    doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS copy FROM documents),
+_l AS (SELECT doc_id, max(quality = 1)::INT AS good, max(toxic = 1)::INT AS toxic FROM labels GROUP BY doc_id),
+_m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(copy, false)::INT AS mask
+  FROM _w LEFT JOIN _l USING (doc_id)),
+_c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM _m GROUP BY ALL),
+_f AS (SELECT chr(65 + i::INT) AS f, (1 << i)::INT AS b FROM range(5) r(i)),
+_o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS o, [a.b, b.b, c.b, d.b, e.b] AS bs
+  FROM _f a JOIN _f b ON b.f <> a.f JOIN _f c ON c.f NOT IN (a.f, b.f)
+  JOIN _f d ON d.f NOT IN (a.f, b.f, c.f) JOIN _f e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+_s AS (SELECT o, k AS step, bs[k] AS bit, list_sum(bs[1:k]) - bs[k] AS before FROM (SELECT *, unnest(range(1, 6)) AS k FROM _o)),
+_r AS (
+  SELECT part, o, step, bit,
+    coalesce(sum(n) FILTER (mask & (before + bit) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS toxic_lost
+  FROM (SELECT *, before::INT AS before FROM _s) CROSS JOIN _c GROUP BY ALL)
+SELECT part, o AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+  redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM _r""",
+)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove per language in each of their 120 orders."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return audit.audited(audit.failure_masks(docs, labels, audit.text_filters()), "ABCDE")
