@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import audit, chat, decontam, jaccard, langid, lm, mixing, ring, rules, tokens, trie, warc
+from tallyfield.llm import audit, chat, decontam, jaccard, langid, lm, mixing, ring, rules, sitetree, tokens, trie, warc
 from tallyfield.llm.text import fold
 from tallyfield.session import checkpoint
 
@@ -224,11 +224,18 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(*trie.rebuilt(turns, conv - conv % 20, n, 3))
 
 
+@query("op12_main_text")
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page as text."""
+    return sitetree.extracted(table(spark, sf_dir, "pages"))
+
+
 @query(
     "op13_filter_audit",
     r"""WITH _w AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
-    regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws,
+    regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws,
     doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS copy FROM documents),
 _l AS (SELECT doc_id, max(quality = 1)::INT AS good, max(toxic = 1)::INT AS toxic FROM labels GROUP BY doc_id),
 _m AS (

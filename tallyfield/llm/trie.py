@@ -29,7 +29,11 @@ from tallyfield.operators.ordered import Ordered, row_number, running_sum, runni
 from tallyfield.session import checkpoint
 
 NODE = ["depth", "p1", "p2"]
-NONE = F.lit(0).cast("long")
+
+
+def zero() -> Column:
+    """0 as a long."""
+    return F.lit(0).cast("long")
 
 
 def numbered(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -70,7 +74,7 @@ def rebuilt(turns: DataFrame, base: Column, n: Column, most: int) -> tuple[DataF
     given = plan.select("conv", F.explode("head").alias("t")).select("conv", "t.*")
     moved = plan.select(F.col("conv").alias("of"), "n", (F.size("head") - F.col("n")).alias("by"))
     own = turns.join(moved, turns["conv"] == moved["of"], "left").where("n is null or pos > n")
-    own = own.select("conv", (F.col("pos") + F.coalesce("by", NONE)).alias("pos"), "a", "b", "words")
+    own = own.select("conv", (F.col("pos") + F.coalesce("by", zero())).alias("pos"), "a", "b", "words")
     return own.unionByName(given), convs.select("conv")
 
 
@@ -107,7 +111,7 @@ def collapsed(turns: DataFrame, convs: DataFrame) -> DataFrame:
     sums = turns.groupBy("conv").agg(F.count(F.lit(1)).alias("depth"), F.bit_xor("x1").alias("p1"), F.bit_xor("x2").alias("p2"))
     named = convs.withColumnRenamed("conv", "of")
     whole_ = named.join(sums, named["of"] == sums["conv"], "left").select(
-        F.col("of").alias("conv"), *[F.coalesce(c, NONE).alias(c) for c in NODE]
+        F.col("of").alias("conv"), *[F.coalesce(c, zero()).alias(c) for c in NODE]
     )
     # A digest is one pass over its ids, so the conversations of one sequence pass one task, as a stream
     sorted_ = whole_.repartition(*NODE).sortWithinPartitions(*NODE, "conv")
@@ -138,12 +142,12 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     total = prefixes.groupBy("conv").agg(F.max("upto").alias("total"))
     known = sequences.select(F.col("conv").alias("of"), F.col("weight").alias("w")).join(leaves, "of", "left")
     known = known.join(total.withColumnRenamed("conv", "of"), "of", "left")
-    known = checkpoint(known.select("of", "w", F.coalesce("leaf", F.lit(0)).alias("leaf"), F.coalesce("total", NONE).alias("total")))
+    known = checkpoint(known.select("of", "w", F.coalesce("leaf", F.lit(0)).alias("leaf"), F.coalesce("total", zero()).alias("total")))
     seen = prefixes.join(known, prefixes["conv"] == known["of"]).select(
         "conv", "depth", "p1", "p2", "x1", "x2", "words", "upto", "w", "leaf", "total"
     )
     root = known.select(
-        F.col("of").alias("conv"), *[NONE.alias(c) for c in ("depth", "p1", "p2", "x1", "x2", "words", "upto")], "w", "leaf", "total"
+        F.col("of").alias("conv"), *[zero().alias(c) for c in ("depth", "p1", "p2", "x1", "x2", "words", "upto")], "w", "leaf", "total"
     )
     seen = checkpoint(seen.unionByName(root))
     nodes = seen.groupBy(*NODE).agg(
@@ -179,7 +183,7 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     out = up.join(figures, ["d", "q1", "q2"], "left")
     return out.select(
         F.col("conv").alias("conv_id"), F.col("d").alias("depth"), F.col("parent").alias("parent_conv_id"), "n_convs",
-        F.coalesce("n_children", NONE).alias("n_children"), F.col("n_leaves").cast("long").alias("n_leaves"),
-        F.coalesce("saved_tokens", NONE).alias("saved_tokens"),
+        F.coalesce("n_children", zero()).alias("n_children"), F.col("n_leaves").cast("long").alias("n_leaves"),
+        F.coalesce("saved_tokens", zero()).alias("saved_tokens"),
         F.coalesce("ends", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256"),
     )
