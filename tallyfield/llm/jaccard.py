@@ -5,10 +5,11 @@ functions. Texts that agree in all rows of a band share a bucket; at similarity
 with probability 1 - (1 - s^rows)^bands, 0.9993 at 0.8 for 24 bands of 6. Buckets are found by a
 shuffle on band hashes, and pairs are verified on full n-gram sets.
 
-Equal n-gram sets are one class from the start. Texts that share buckets are gathered, one copy of
-each text, and verified together: within blocks of bounded size, and between pairs of blocks where
-many texts hang together, so no task holds more than two blocks. What leaves a block is a count per
-text and a spanning forest of its links, never the pairs.
+Equal n-gram sets are one class from the start, and one text of each is verified. Texts that hang
+together by buckets are packed into blocks of bounded size, those of a bucket next to each other, and
+two blocks are compared where a bucket has texts in both. So a chain of buckets costs a chain of
+block pairs, only a bucket's own texts are all compared, and no task holds more than two blocks. What
+leaves a block is a count per text and a spanning forest of its links, never the pairs.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.llm.components import components
-from tallyfield.session import checkpoint
+from tallyfield.operators.ordered import Ordered, row_number, running_sum
+from tallyfield.session import checkpoint, scratch_path
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
 BLOCK_TEXTS = 256  # texts of one block
-BLOCK_GRAMS = 400_000  # n-grams of one block; a longer text is a block of its own
+BLOCK_GRAMS = 400_000  # n-grams of one block, beside the one text that fills it
+LANES = 1 << 16  # hash values worked on at a time
 
-_SKETCH = "row long, h1 long, h2 long, grams int, same string, bands array<long>"
+_SKETCH = "row long, key long, grams int, same string, bands array<long>"
 
 
 class _Hashes(dict):
@@ -56,30 +59,44 @@ def gram_set(text: str, n: int, known: _Hashes) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(31)))
 
 
+def minima(grams: np.ndarray, times: np.ndarray, plus: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Smallest value of times * g + plus over all n-grams g, for each pair of ``times`` and ``plus``.
+
+    Values have 32 bits, mixed from both halves of an n-gram's hash; ``room`` is working memory.
+    """
+    low = np.full(len(times), np.iinfo(np.uint32).max, np.uint32)
+    g = (grams ^ (grams >> np.uint64(32))).astype(np.uint32)
+    width = room.shape[1]
+    for at in range(0, len(g), width):
+        part = g[at : at + width]
+        lanes = room[:, : len(part)]
+        np.multiply(times[:, None], part, out=lanes)
+        lanes += plus[:, None]
+        np.minimum(low, lanes.min(axis=1), out=low)
+    return low
+
+
 def _sketch(n: int, bands: int, rows: int, seed: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         draw = np.random.default_rng(seed)
-        times = draw.integers(1, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
-        plus = draw.integers(0, 1 << 63, bands * rows, np.uint64)
+        times = draw.integers(0, 1 << 31, bands * rows, np.uint32) * np.uint32(2) + np.uint32(1)
+        plus = draw.integers(0, 1 << 32, bands * rows, np.uint32)
+        room = np.empty((bands * rows, max(1, LANES // (bands * rows))), np.uint32)
         known = _Hashes()
         for frame in frames:
             out = []
-            for row, h1, h2, text in zip(*(frame[c].tolist() for c in ("row", "h1", "h2", "text")), strict=True):
+            for row, text in zip(frame["row"].tolist(), frame["text"].tolist(), strict=True):
                 grams = gram_set(text, n, known) if isinstance(text, str) else np.zeros(0, np.uint64)
                 if not len(grams):
-                    out.append((row, h1, h2, 0, None, None))
+                    out.append((row, 0, None, None))
                     continue
-                low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(grams), 4096):  # bounded memory for very long texts
-                    g = grams[at : at + 4096]
-                    for i in range(bands * rows):
-                        # the high half of multiply-add is a good hash of distinct 64-bit values
-                        low[i] = min(low[i], ((g * times[i] + plus[i]) >> np.uint64(20)).min())
-                mixed = low.reshape(bands, rows)
+                mixed = minima(grams, times, plus, room).reshape(bands, rows)
                 keys = [xxhash.xxh3_64_intdigest(mixed[b].tobytes(), b) for b in range(bands)]
                 same = f"{len(grams):x}-{xxhash.xxh3_128_hexdigest(grams.tobytes())}"
-                out.append((row, h1, h2, len(grams), same, np.array(keys, np.uint64).view(np.int64)))
-            yield pd.DataFrame(out, columns=["row", "h1", "h2", "grams", "same", "bands"])
+                out.append((row, len(grams), same, np.array(keys, np.uint64).view(np.int64)))
+            done = pd.DataFrame(out, columns=["row", "grams", "same", "bands"])
+            done["key"] = frame["key"].to_numpy()  # as it came, null included
+            yield done
 
     return run
 
@@ -132,9 +149,17 @@ def _verify(n: int, threshold: float):
     return run
 
 
+def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, key, text) of ``docs``, written: every read, also one after a lost executor, sees the same numbers."""
+    path = scratch_path(docs.sparkSession, "texts")
+    named = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    named.write.parquet(path, compression="zstd")
+    return docs.sparkSession.read.parquet(path)
+
+
 def joined(
     docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
-    key: str = "doc_id", text: str = "text", seed: int = 7,
+    key: str = "doc_id", text: str = "text", seed: int = 7, written: bool = False,
 ) -> DataFrame:
     """(key, class_id, copy_id, n_links) of every row.
 
@@ -142,64 +167,57 @@ def joined(
     rows of an equal n-gram set, ``n_links`` the number of other rows with a similarity of
     ``threshold`` or more, equal ones included, and ``class_id`` the smallest key of all rows that
     hang together by links. Texts of fewer than n words have one n-gram, of all words. Null and blank
-    texts have none: they link to nothing and are classes of their own, as are rows with a null key,
-    which keep a null class. Rows that repeat a key count as rows, each by its own text. Other columns
-    are not looked at.
+    texts have none: they link to nothing and are classes of their own. Rows with a null key are
+    joined like others; a class in which no row has a key has a null name. Rows that repeat a key
+    count as rows, each by its own text. Other columns are not looked at. ``written`` says that
+    ``docs`` is a stored table with a key of its own in every row, which then needs no numbers.
     """
-    # two hashes of 64 bits tell texts of one key apart
-    base = docs.select(
-        F.col(key).cast("long").alias("row"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h1"),
-        F.xxhash64(F.lit(seed), F.col(text)).alias("h2"),
-    )
-    sketch = checkpoint(base.where("row is not null").mapInPandas(_sketch(n, bands, rows, seed), _SKETCH))
+    stored = docs.select(F.col(key).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    base = stored if written else numbered(docs, key, text)
+    sketch = base.select("row", "key", "text").mapInPandas(_sketch(n, bands, rows, seed), _SKETCH)
+    sketch = checkpoint(sketch)
     full = sketch.where("grams > 0")
-    # classes of equal sets, numbered: equal rows are combined before the shuffle, however many there are
-    same = full.groupBy("same").agg(
-        F.min(F.struct("row", "h1", "h2")).alias("first"), F.count(F.lit(1)).alias("copies"),
-        F.first("grams").alias("grams"), F.first("bands").alias("bands"),
+    # classes of equal sets, known by their first row: equal rows are combined before the shuffle
+    same = checkpoint(
+        full.groupBy("same").agg(
+            F.min("row").alias("id"), F.min("key").alias("copy"), F.count(F.lit(1)).alias("copies"),
+            F.first("grams").alias("grams"), F.first("bands").alias("bands"),
+        )
     )
-    same = checkpoint(same.withColumn("id", F.monotonically_increasing_id()))
     buckets = same.select("id", F.posexplode("bands").alias("band", "h"))
     heads = buckets.groupBy("band", "h").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = buckets.join(heads, ["band", "h"]).where("id <> head").select("id", "head").distinct()
-    groups = components(near, "id", "head").withColumnRenamed("node", "id")
-    members = groups.join(same.select("id", "first", "copies", "grams"), "id")
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("texts"), F.sum("grams").alias("all_grams"))
-    sizes = sizes.withColumn(
-        "blocks",
-        F.ceil(F.greatest(F.col("texts") / BLOCK_TEXTS, F.col("all_grams") / BLOCK_GRAMS)).cast("int"),
-    )
-    members = members.join(sizes.select("root", "blocks"), "root").withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    )
-    # one text per class: that of its first row, by key and text
-    texts = base.where("row is not null").join(
-        members.select("root", "id", "copies", "blocks", "block", "first.*"), ["row", "h1", "h2"]
-    ).dropDuplicates(["id"])
-    meets = F.explode(
-        F.transform(
-            F.sequence(F.lit(0), F.col("blocks") - 1),
-            lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")),
-        )
-    )
-    asked = texts.select("root", "id", "copies", "block", "text", meets.alias("m"))
-    asked = asked.select("root", "id", "copies", "block", "text", "m.i", "m.j")
+    # a bucket is named by band and head, which only it has
+    shared = checkpoint(buckets.join(heads.drop("n"), ["band", "h"]).select("id", "band", "head"))
+    groups = components(shared.where("id <> head"), "id", "head").withColumnRenamed("node", "id")
+    near = shared.groupBy("id").agg(F.min("head").alias("low"))
+    members = groups.join(same.select("id", "copies", "grams"), "id").join(near, "id")
+    packed = Ordered(members, ["root"], ["low", "id"]).add(upto=running_sum(F.col("grams")), nth=row_number()).result()
+    block = F.floor((F.col("upto") - F.col("grams")) / BLOCK_GRAMS) + F.floor((F.col("nth") - 1) / BLOCK_TEXTS)
+    members = checkpoint(packed.select("root", "id", "copies", block.cast("long").alias("block")))
+    # blocks that a bucket has texts in
+    spread = shared.join(members.select("id", "root", "block"), "id").select("root", "band", "head", "block").distinct()
+    other = spread.select("band", "head", F.col("block").alias("j"))
+    meets = spread.withColumnRenamed("block", "i").join(other, ["band", "head"]).where("i <= j").select("root", "i", "j").distinct()
+    meets = checkpoint(meets)
+    texts = checkpoint(members.join(base.select(F.col("row").alias("id"), "text"), "id"))
+    left = texts.join(meets.withColumn("block", F.col("i")), ["root", "block"])
+    right = texts.join(meets.where("i <> j").withColumn("block", F.col("j")), ["root", "block"])
+    cols = ["root", "i", "j", "id", "copies", "block", "text"]
+    asked = left.select(cols).union(right.select(cols))
     found = checkpoint(
         asked.groupBy("root", "i", "j").applyInPandas(_verify(n, threshold), "id long, links long, to long")
     )
     counts = found.where("id = to").groupBy("id").agg(F.sum("links").alias("links"))
     linked = components(found.where("id <> to"), "id", "to").withColumnRenamed("node", "id")
-    classes = same.select("same", "id", "copies", F.col("first.row").alias("copy")).join(counts, "id", "left")
-    # a class is named by its smallest key, not by its smallest number
-    classes = classes.join(linked, "id", "left")
+    classes = same.select("same", "id", "copies", "copy").join(counts, "id", "left").join(linked, "id", "left")
+    # a class is named by its smallest key, not by its smallest row
     names = classes.where("root is not null").groupBy("root").agg(F.min("copy").alias("class"))
     classes = classes.join(names, "root", "left")
-    out = sketch.select("row", "same").join(classes, "same", "left")
+    out = sketch.select("row", "key", "same").join(classes, "same", "left")
     zero = F.lit(0).cast("long")
-    ids = out.select(
-        F.col("row").alias(key),
-        F.coalesce("class", "copy", "row").alias("class_id"),
-        F.coalesce("copy", "row").alias("copy_id"),
+    return out.select(
+        F.col("key").alias(key),
+        F.coalesce("class", "copy", "key").alias("class_id"),
+        F.coalesce("copy", "key").alias("copy_id"),
         (F.coalesce("links", zero) + F.coalesce(F.col("copies") - 1, zero)).alias("n_links"),
     )
-    return ids.union(base.where("row is null").select("row", "row", "row", zero))
