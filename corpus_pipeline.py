@@ -43,16 +43,15 @@ def numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies, one of the smallest id.
+    """One row of each group of near copies, one of the smallest id; a row without an id only if none has one.
 
-    Rows are told apart by number: those that repeat an id stay or go each by its own text. Rows with
-    a null id or without words are nobody's copy.
+    Rows are told apart by number: those that repeat an id, or have none, stay or go each by its own
+    text. Rows without words are nobody's copy.
     """
     rows, number = numbered(spark, docs)
-    known = rows.where("doc_id is not null")
-    linked = jaccard.joined(known, key=number).where("n_links > 0").select(F.col(number).alias("_of"), "class_id")
-    place = F.struct(F.col("doc_id").alias("a"), F.xxhash64("text").alias("b"), F.col(number).alias("c"))
-    order = known.select(F.col(number).alias("_row"), place.alias("_order"))
+    linked = jaccard.joined(rows, key=number, written=True).where("n_links > 0").select(F.col(number).alias("_of"), "class_id")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("a"), F.xxhash64("text").alias("b"), F.col(number).alias("c"))
+    order = rows.select(F.col(number).alias("_row"), place.alias("_order"))
     members = checkpoint(linked.join(order, F.col("_of") == F.col("_row")).select("class_id", "_order"))
     first = members.groupBy("class_id").agg(F.min("_order").alias("_first"))
     gone = members.join(first, "class_id").where("_order.c <> _first.c")
