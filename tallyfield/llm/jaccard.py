@@ -48,7 +48,8 @@ class _Hashes(dict):
 
 def gram_set(text: str, n: int, known: _Hashes) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams; texts of fewer words have one, of all words."""
-    words = np.array([known[w] for w in text.encode().split()], np.uint64)
+    cut = text.encode().split()
+    words = np.fromiter(map(known.__getitem__, cut), np.uint64, len(cut))
     if not len(words):
         return words
     size = min(n, len(words))
