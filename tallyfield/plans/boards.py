@@ -472,12 +472,12 @@ def runs_still_open(spark, sf):
 
 @query(
     "perf_windows",
-    """SELECT run, (step - 1) // 50 AS window, max(step) AS last_step, round(avg(mpjpe), 5) AS step_s, max(transl_err) AS peak_mem,
-  round(2048 / greatest(avg(mpjpe), 1e-9), 4) AS samples_per_s FROM fx_metrics WHERE step > 0 GROUP BY ALL""",
+    """SELECT run, floor((step - 1) / 50.0)::BIGINT AS "window", max(step) AS last_step, round(avg(mpjpe), 5) AS step_s, max(transl_err) AS peak_mem,
+  round(2048 / greatest(avg(mpjpe), 1e-9), 4) AS samples_per_s FROM fx_metrics GROUP BY ALL""",
     views=("fx_metrics",),
 )
 def perf_windows(spark, sf):
-    m = fx.metrics(spark, sf).where("step > 0")
+    m = fx.metrics(spark, sf)
     d = D.perf_windows(m, "run", "step", "mpjpe", 2048, "transl_err")
     return d.select("run", "window", "last_step", _r("step_s", 5).alias("step_s"), "peak_mem", _r("samples_per_s").alias("samples_per_s"))
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyfield.operators.boards import explode_log
 from tallyfield.operators.ordered import (
@@ -23,20 +23,31 @@ from tallyfield.operators.ordered import (
     running_max,
 )
 from tallyfield.session import scratch_path
+from tallyfield.sources import log_tail
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
+IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
 @contextmanager
-def state_store(spark: SparkSession) -> Iterator[None]:
-    """A state store off the heap, set while a query starts and runs."""
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)
+def state_store(spark: SparkSession, idle: bool = True) -> Iterator[None]:
+    """A state store off the heap, set while a query starts and runs.
+
+    ``idle`` allows batches without data. A query whose state expires by the clock asks for them for
+    ever, so one that is to end with its data must not have them.
+    """
+    wanted = {PROVIDER: ROCKS, IDLE: str(idle).lower()}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def tail_logs(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -54,6 +65,19 @@ def tail_logs(spark: SparkSession, path: str, max_files: int | None = None) -> D
     return lines.select(run.alias("run"), F.col("value").alias("line"))
 
 
+def tail_growing(spark: SparkSession, path: str, suffix: str = ".jsonl", split_bytes: int | None = None) -> DataFrame:
+    """New lines of log files under ``path`` that grow in place, as (run, file, at, line).
+
+    The checkpoint remembers a byte position per file. An unfinished last line waits for the rest of
+    it; see ``sources.log_tail``.
+    """
+    log_tail.register(spark)
+    reader = spark.readStream.format("log_tail").option("path", path).option("suffix", suffix)
+    if split_bytes:
+        reader = reader.option("splitBytes", str(split_bytes))
+    return reader.load()
+
+
 def validation_rows(lines: DataFrame) -> DataFrame:
     """Long validation rows of tailed log lines."""
     return explode_log(lines, "line")
@@ -224,11 +248,66 @@ def perf_time_windows(
     return out.select(by, F.col("_w.start").alias("start"), "step_s", "n")
 
 
-def run_available(df: DataFrame | Carried, mode: str = "append") -> DataFrame:
+@dataclass(frozen=True)
+class Upserts:
+    """A table with one row per key, kept as the changes of each micro-batch.
+
+    A batch writes the rows that changed and no other, under its number, so what it costs does not
+    grow with the history; a repeated batch replaces itself. The value of a key is its row of the
+    highest number. ``compact`` folds what is there into one part.
+    """
+
+    base: str
+    keys: Sequence[str]
+
+    def save(self, batch: DataFrame, number: int) -> None:
+        """For ``foreachBatch``."""
+        batch.write.mode("overwrite").parquet(f"{self.base}/batch={number}")
+
+    def read(self, spark: SparkSession, schema: StructType) -> DataFrame:
+        """The newest row of every key."""
+        stored = StructType([*schema.fields, StructField("batch", LongType())])
+        rows = spark.read.schema(stored).parquet(self.base)
+        rest = [c for c in schema.names if c not in self.keys]
+        newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_v"))
+        return newest.select(*self.keys, "_v.*").select(*schema.names)
+
+    def compact(self, spark: SparkSession, schema: StructType, upto: int) -> Upserts:
+        """A table with the rows of all batches up to ``upto`` in one, in a folder of its own."""
+        rest = [c for c in schema.names if c not in self.keys]
+        stored = StructType([*schema.fields, StructField("batch", LongType())])
+        rows = spark.read.schema(stored).parquet(self.base)
+        old = rows.where(F.col("batch") <= upto).groupBy(*self.keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_v"))
+        new = Upserts(scratch_path(spark, "upserts"), self.keys)
+        new.save(old.select(*self.keys, "_v.*").select(*schema.names), upto)
+        later = rows.where(F.col("batch") > upto)
+        later.write.mode("append").partitionBy("batch").parquet(new.base)
+        return new
+
+
+def run_upserts(df: DataFrame, keys: Sequence[str], idle: bool = True) -> DataFrame:
+    """Runs a stream over all data that is there in update mode and returns its newest rows.
+
+    ``idle``: see :func:`state_store`.
+    """
+    spark = df.sparkSession
+    base = scratch_path(spark, "stream")
+    table = Upserts(f"{base}/out", keys)
+    with state_store(spark, idle):
+        writer = df.writeStream.option("checkpointLocation", f"{base}/checkpoint").outputMode("update")
+        query = writer.trigger(availableNow=True).foreachBatch(table.save).start()
+        query.awaitTermination()
+    if not query.recentProgress:
+        return spark.createDataFrame([], df.schema)
+    return table.read(spark, df.schema)
+
+
+def run_available(df: DataFrame | Carried, mode: str = "append", idle: bool = True) -> DataFrame:
     """Runs a stream over all data that is there now and returns what it wrote.
 
     ``append`` writes each row once. ``complete`` writes the whole result per batch into a
-    folder of its own, so a repeated batch replaces itself; the last one is returned.
+    folder of its own, so a repeated batch replaces itself; the last one is returned. ``idle``: see
+    :func:`state_store`.
     """
     if isinstance(df, Carried):
         spark = df.stream.sparkSession
@@ -248,7 +327,7 @@ def run_available(df: DataFrame | Carried, mode: str = "append") -> DataFrame:
     spark = df.sparkSession
     base = scratch_path(spark, "stream")
     schema: StructType = df.schema
-    with state_store(spark):
+    with state_store(spark, idle):
         writer = df.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(
             availableNow=True
         )
