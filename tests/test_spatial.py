@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.operators.evaluation import pairwise_iou
 from tallyfield.operators.records import points_in_box
-from tallyfield.operators.spatial import nearest
+from tallyfield.operators.spatial import PointIndex, nearest
 
 
 def cloud(n, seed, spots):
@@ -39,14 +39,17 @@ def brute(qs, ps, k, limit=None):
     return sorted(out)
 
 
-@pytest.mark.parametrize("k,limit,leaf", [(1, None, 8), (3, None, 8), (1, 0.5, 8), (2, 0.5, 4), (1, 0.5, 10_000)])
-def test_nearest_equals_brute_force(spark, k, limit, leaf):
+@pytest.mark.parametrize(
+    "k,limit,leaf,small",
+    [(1, None, 8, 0), (3, None, 8, 0), (1, 0.5, 8, 0), (2, 0.5, 4, 0), (1, 0.5, 10_000, 0), (3, None, 8, 4096), (1, 0.5, 8, 4096)],
+)
+def test_nearest_equals_brute_force(spark, k, limit, leaf, small):
     qs, ps = cloud(120, 1, 4), cloud(400, 2, 4)
     schema = "g int, {} int, x double, y double, z double"
     a = spark.createDataFrame(qs, schema.format("q"))
     b = spark.createDataFrame(ps, schema.format("p"))
     got = nearest(
-        a, b, by=["g"], coords=["x", "y", "z"], query_id="q", point_id="p", k=k, max_distance=limit, leaf=leaf
+        a, b, by=["g"], coords=["x", "y", "z"], query_id="q", point_id="p", k=k, max_distance=limit, leaf=leaf, small=small
     )
     rows = sorted((r["g"], r["q"], r["p"], r["rank"], round(r["distance"], 9)) for r in got.collect())
     assert rows == brute(qs, ps, k, limit)
@@ -58,11 +61,48 @@ def test_nearest_without_groups_and_with_queries_outside(spark):
     qs = [(0, i, 50.0 * i - 100, 3.0, -7.0) for i in range(5)]
     a = spark.createDataFrame([r[1:] for r in qs], "q int, x double, y double, z double")
     b = spark.createDataFrame([r[1:] for r in ps], "p int, x double, y double, z double")
-    got = nearest(a, b, coords=["x", "y", "z"], query_id="q", point_id="p", k=2, leaf=8)
+    got = nearest(a, b, coords=["x", "y", "z"], query_id="q", point_id="p", k=2, leaf=8, small=0)
+    whole = nearest(a, b, coords=["x", "y", "z"], query_id="q", point_id="p", k=2)
+    assert sorted(whole.collect()) == sorted(got.collect())
     rows = sorted((0, r["q"], r["p"], r["rank"], round(r["distance"], 9)) for r in got.collect())
     assert rows == brute(qs, ps, 2)
 
 
+def test_one_index_for_several_searches(spark):
+    # groups of one point, of some, and of many, half of it at one spot; one group has no queries
+    ps = cloud(500, 8, 5) + [(2, 1000, 0.0, 0.0, 0.0), (3, 1001, 1.0, 1.0, 1.0), (None, 1002, 0.0, 0.0, 0.0)]
+    ps += [(4, 2000 + i, i * 0.1, 0.0, None if i == 3 else 1.0) for i in range(10)]
+    schema = "g int, {} int, x double, y double, z double"
+    b = spark.createDataFrame(ps, schema.format("p"))
+    index = PointIndex(b, by=["g"], coords=["x", "y", "z"], point_id="p", k=3, leaf=8, small=20)
+    assert index.small is not None and index.leaves is not None
+    ps = [p for p in ps if p[0] is not None and p[4] is not None]
+    for seed, k, limit in ((11, 1, None), (12, 3, None), (13, 2, 0.7)):
+        qs = cloud(60, seed, 5) + [(2, 500, 3.0, 4.0, 0.0), (4, 501, 0.0, 0.0, 0.0), (9, 502, 0.0, 0.0, 0.0)]
+        a = spark.createDataFrame([*qs, (None, 7, 0.0, 0.0, 0.0), (2, 503, None, 0.0, 0.0)], schema.format("q"))
+        got = index.search(a, "q", k, limit).collect()
+        assert sorted((r["g"], r["q"], r["p"], r["rank"], round(r["distance"], 9)) for r in got) == brute(qs, ps, k, limit)
+    with pytest.raises(ValueError):
+        index.search(a, "q", 4)
+    index.drop()
+    assert nearest(a, b.limit(0), by=["g"], coords=["x"], query_id="q", point_id="p").count() == 0
+
+
+def test_leaves_are_not_shuffled(spark):
+    b = spark.createDataFrame(cloud(400, 5, 5), "g int, p int, x double, y double, z double")
+    a = spark.createDataFrame(cloud(400, 6, 5), "g int, q int, x double, y double, z double")
+    index = PointIndex(b, by=["g"], coords=["x", "y", "z"], point_id="p", leaf=8, small=0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = index.search(a, "q")
+        d.count()
+        plan = d._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scan = plan[plan.rindex(index.table) - 400 :]
+    assert "Bucketed: true" in scan
+
+
 def boxes(n, seed):
     rnd = random.Random(seed)
     return [
