@@ -121,7 +121,7 @@ class PointIndex:
     Groups of at most ``small`` positions are kept as they are: a search compares them whole. The
     others go into a pyramid of cells whose leaves hold about ``leaf`` positions. The leaves are a
     table bucketed by group and cell, so a search shuffles queries and never the points; the cells of
-    each level are counted from those of the level below.
+    all levels are counted from those of the lowest.
 
     ``by`` are the groups (none: all points are one), ``coords`` the coordinates; points with a
     missing one are left out.
@@ -190,20 +190,18 @@ class PointIndex:
             *[F.max(c).alias(f"_hi{i}") for i, c in enumerate(self.coords)],
         ]
         low = self.leaves.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *bounds)
-        path = scratch_path(self.spark, "cells")
-        low.withColumn("_d", F.lit(self.depth)).write.partitionBy("_d").parquet(path)
         again = [
             F.sum("_n").alias("_n"),
             *[F.min(f"_lo{i}").alias(f"_lo{i}") for i in range(len(self.coords))],
             *[F.max(f"_hi{i}").alias(f"_hi{i}") for i in range(len(self.coords))],
         ]
-        below = self.depth
-        for d in reversed([0, *self._steps()[:-1]] if self.depth else []):
-            up = [_up(n, below - d).alias(n) for n in self.names]
-            cells = self.spark.read.parquet(f"{path}/_d={below}")
-            coarse = cells.select(*[c for c in cells.columns if c not in self.names], *up).groupBy(*keys).agg(*again)
-            coarse.withColumn("_d", F.lit(d)).write.mode("append").partitionBy("_d").parquet(path)
-            below = d
+        # cells of all levels from those of the lowest, in one pass
+        depths = F.explode(F.array(*[F.lit(d) for d in sorted({0, *self._steps()})])).alias("_d")
+        rest = [c for c in low.columns if c not in self.names]
+        up = [F.expr(f"shiftright({n}, {self.depth} - _d)").alias(n) for n in self.names]
+        cells = low.select("*", depths).select("_d", *rest, *up).groupBy("_d", *keys).agg(*again)
+        path = scratch_path(self.spark, "cells")
+        cells.write.partitionBy("_d").parquet(path)
         self.levels = path
 
     def _steps(self) -> list[int]:

@@ -85,31 +85,34 @@ class _Patience(StatefulProcessor):
         self.since = handle.getValueState("since", "n long", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        d = _sorted(rows, self.step)
-        since = self.since.get()[0] if self.since.exists() else 0
+        d = pd.concat(list(rows), ignore_index=True)
         v = d[self.value].astype(float)
-        d = d.assign(_v=v.where(np.isfinite(v)))  # a value that is no number is no smaller
-        out = []
-        bests: dict[Any, float] = {}
-        changed: set[Any] = set()
-        for step, at in d.groupby(self.step, sort=True):
-            hit = False
-            for source, low in at.groupby(self.source, dropna=False)["_v"].min().items():
-                name = None if pd.isna(source) else source
-                if name not in bests:
-                    known = self.best.getValue((name,)) if self.best.containsKey((name,)) else None
-                    bests[name] = known[0] if known else float("inf")
-                if low < bests[name]:
-                    bests[name], hit = float(low), True
-                    changed.add(name)
-            since = 0 if hit else since + 1
-            out.append((key[0], int(step), hit, since, self.n > 0 and step >= self.min_steps and since >= self.n))
-        for name in bests:  # also unchanged ones: seen, so not to expire
-            if name in changed or self.ttl:
-                if np.isfinite(bests[name]):
-                    self.best.updateValue((name,), (bests[name],))
-        self.since.update((int(since),))
-        yield pd.DataFrame(out, columns=[self.by, self.step, "improved", "since", "stop"])
+        low = v.where(np.isfinite(v))  # a value that is no number is no smaller
+        per = low.groupby([d[self.step], d[self.source]], dropna=False).min().rename("low").reset_index()
+        per = per.sort_values(self.step, kind="stable")
+        bar = per.groupby(self.source, dropna=False)["low"].transform(lambda x: x.cummin().ffill().shift())
+        names = [None if pd.isna(x) else _plain(x) for x in per[self.source].unique()]
+        held = {n: self.best.getValue((n,))[0] for n in names if self.best.containsKey((n,))}
+        before = per[self.source].map({n: x for n, x in held.items() if n is not None}).astype(float)
+        if None in held:
+            before = before.where(per[self.source].notna(), held[None])
+        bar = np.fmin(bar.astype(float), before).fillna(np.inf)
+        hits = (per["low"] < bar).groupby(per[self.step]).any().sort_index()
+        # evaluations since the last hit, or since the state's last one
+        hit, at = hits.to_numpy(bool), np.arange(len(hits))
+        last = np.maximum.accumulate(np.where(hit, at, -1))
+        since = np.where(last >= 0, at - last, at + 1 + (self.since.get()[0] if self.since.exists() else 0))
+        lowest = per.groupby(self.source, dropna=False)["low"].min()
+        for name, x in zip(lowest.index, lowest):
+            name = None if pd.isna(name) else _plain(name)
+            x = np.fmin(x, held.get(name, np.nan))
+            if np.isfinite(x):  # also if it is no better: seen, so not to expire
+                self.best.updateValue((name,), (float(x),))
+        self.since.update((int(since[-1]),))
+        step = hits.index.to_numpy()
+        stop = (self.n > 0) & (step >= self.min_steps) & (since >= self.n)
+        out = {self.by: [key[0]] * len(hits), self.step: step.astype("int64"), "improved": hit, "since": since.astype("int64"), "stop": stop}
+        yield pd.DataFrame(out)
 
     def close(self) -> None:
         """Nothing is held outside the state store."""
