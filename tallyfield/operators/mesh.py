@@ -14,7 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
 from tallyfield.functions import vectors as V
-from tallyfield.operators.spatial import nearest
+from tallyfield.operators.spatial import PointIndex
 from tallyfield.session import checkpoint
 
 
@@ -140,58 +140,82 @@ def rotation_prior(df: DataFrame, by: str, rotation: str) -> DataFrame:
     return mean.join(spread, by)
 
 
-def icp_residual(
-    points: DataFrame, verts: DataFrame, on: str, ids: tuple[str, str], iterations: int = 3
+def registered(
+    points: DataFrame, verts: DataFrame, on: str, ids: tuple[str, str], iterations: int = 3,
+    facing: DataFrame | None = None, huber: float | None = None,
 ) -> DataFrame:
-    """How far a few closest-point rounds move the facing vertices onto the returns, per record.
+    """(on, r, t): rigid motion ``r v + t`` of each record's vertices onto its returns, by closest points.
 
-    Every round pairs each return with its nearest vertex (grid search), sums the 3x3
-    covariance per record and turns it into a rigid motion of all vertices of the record.
+    Every round pairs each return with the nearest vertex, sums the weighted 3x3 covariance per
+    record and takes the closest rotation. Only ``facing`` vertices (on, vertex id; all if None) are
+    paired. With ``huber`` a return further than that from its vertex weighs ``huber / distance``,
+    so outliers pull no harder than returns at that distance. Records without returns stay where
+    they are.
+
+    The vertices are indexed once: instead of moving them, each round moves the returns back.
     """
     pid, vid = ids
-    cur = verts.select(on, vid, *[F.col(c).alias(f"{c}0") for c in "xyz"], "x", "y", "z")
+    src = verts.select(on, vid, "x", "y", "z")
+    if facing is not None:
+        src = src.join(facing.select(on, vid), [on, vid], "left_semi")
+    src = checkpoint(src)
     pts = points.select(on, pid, "x", "y", "z")
+    index = PointIndex(src, by=[on], coords=["x", "y", "z"], point_id=vid)
+    at = src.select(on, vid, *[F.col(c).alias(f"s{c}") for c in "xyz"])
+    eye = F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)])
+    poses = src.select(on).distinct().select(on, eye.alias("r"), F.array(*[F.lit(0.0)] * 3).alias("t"))
+    first = True
     for _ in range(iterations):
-        pairs = nearest(pts, cur, by=[on], coords=["x", "y", "z"], query_id=pid, point_id=vid)
-        d = pairs.join(pts, [on, pid]).join(
-            cur.select(on, vid, *[F.col(c).alias(f"s{c}") for c in "xyz"]), [on, vid]
+        if first:
+            q = pts
+        else:
+            off = [F.col(c) - F.col("t")[i] for i, c in enumerate("xyz")]
+            back = [V.total([F.col("r")[3 * k + i] * off[k] for k in range(3)]) for i in range(3)]
+            q = pts.join(poses, on).select(on, pid, *[e.alias(c) for e, c in zip(back, "xyz")])
+        pairs = index.search(q, pid).join(pts, [on, pid]).join(at, [on, vid])
+        w = F.lit(1.0) if huber is None else F.when(F.col("distance") > huber, huber / F.col("distance")).otherwise(1.0)
+        d = pairs.withColumn("w", w)
+        names = ("x", "y", "z", "sx", "sy", "sz")
+        stats = d.groupBy(on).agg(
+            F.sum("w").alias("w"),
+            *[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(f"m_{c}") for c in names],
+            *[(F.sum(F.col("w") * F.col(f"s{a}") * F.col(b)) / F.sum("w")).alias(f"c_{a}{b}") for a in "xyz" for b in "xyz"],
         )
-        sums = [F.avg(c).alias(f"m_{c}") for c in ("x", "y", "z", "sx", "sy", "sz")]
-        cross = [
-            F.avg(F.col(f"s{a}") * F.col(b)).alias(f"c_{a}{b}") for a in "xyz" for b in "xyz"
-        ]
-        stats = d.groupBy(on).agg(*sums, *cross)
-        # covariance of source and target; its closest rotation, transposed, moves the source
+        # covariance of target and source, row by row; its closest rotation moves the source
         h = F.array(
             *[
-                F.col(f"c_{a}{b}") - F.col(f"m_s{a}") * F.col(f"m_{b}")
-                + F.lit(1e-8 if a == b else 0.0)
-                for a in "xyz"
+                F.col(f"c_{a}{b}") - F.col(f"m_s{a}") * F.col(f"m_{b}") + F.lit(1e-8 if a == b else 0.0)
                 for b in "xyz"
+                for a in "xyz"
             ]
         )
-        move = stats.select(
-            on,
-            nearest_rotation(h).alias("_r"),
-            F.array("m_sx", "m_sy", "m_sz").alias("_s"),
-            F.array("m_x", "m_y", "m_z").alias("_t"),
-        )
-        j = cur.join(move, on, "left")
-        off = [F.col(c) - F.col("_s")[i] for i, c in enumerate("xyz")]
-        new = [
-            V.total([F.col("_r")[3 * k + i] * off[k] for k in range(3)]) + F.col("_t")[i]
-            for i in range(3)
-        ]
-        cur = checkpoint(
-            j.select(
-                on,
-                vid,
-                *[f"{c}0" for c in "xyz"],
-                *[F.coalesce(n, F.col(c)).alias(c) for n, c in zip(new, "xyz")],
-            )
-        )
-    gap = V.norm(F.array(*[F.col(c) - F.col(f"{c}0") for c in "xyz"]))
-    return cur.groupBy(on).agg(F.avg(gap).alias("moved_m"))
+        move = stats.select(on, nearest_rotation(h).alias("r"), F.array("m_sx", "m_sy", "m_sz").alias("s"), F.array("m_x", "m_y", "m_z").alias("p"))
+        shift = [F.col("p")[i] - V.total([F.col("r")[3 * i + k] * F.col("s")[k] for k in range(3)]) for i in range(3)]
+        new = move.select(on, F.col("r").alias("nr"), F.array(*shift).alias("nt"))
+        poses = poses.join(new, on, "left").select(on, F.coalesce("nr", "r").alias("r"), F.coalesce("nt", "t").alias("t"))
+        poses = checkpoint(poses)
+        first = False
+    return poses
+
+
+def icp_residual(
+    points: DataFrame, verts: DataFrame, on: str, ids: tuple[str, str], iterations: int = 3,
+    facing: DataFrame | None = None, huber: float | None = None,
+) -> DataFrame:
+    """How far a few closest-point rounds move the facing vertices onto the returns, per record.
+
+    The mean way of the facing vertices under :func:`registered`'s motion.
+    """
+    vid = ids[1]
+    src = verts.select(on, vid, "x", "y", "z")
+    if facing is not None:
+        src = src.join(facing.select(on, vid), [on, vid], "left_semi")
+    j = src.join(registered(points, verts, on, ids, iterations, facing, huber), on)
+    moved = [
+        V.total([F.col("r")[3 * i + k] * F.col(c) for k, c in enumerate("xyz")]) + F.col("t")[i] - F.col(d)
+        for i, d in enumerate("xyz")
+    ]
+    return j.groupBy(on).agg(F.avg(V.norm(F.array(*moved))).alias("moved_m"))
 
 
 def transform_body(df: DataFrame, pose: str, pelvis: str = "pelvis") -> DataFrame:

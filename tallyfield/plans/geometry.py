@@ -417,6 +417,38 @@ def icp_displacements(spark, sf):
     return M.icp_residual(pts, verts, "cloud", ("idx", "vertex"), 2)
 
 
+# in a plane the closest rotation is one angle; returns beyond 0.5 weigh 0.5 / distance
+_PLANE = """a AS (SELECT cloud, idx, x, y FROM fx_points WHERE channel <= 4),
+v AS (SELECT cloud, idx AS vertex, x, y FROM fx_points WHERE channel > 4 AND col < 384),
+m AS (SELECT cloud, idx, x AS px, y AS py, d, best.x AS vx, best.y AS vy, least(1, 0.5 / greatest(d, 1e-12)) AS w FROM (
+  SELECT a.cloud, a.idx, a.x, a.y, min(sqrt((a.x-v.x)*(a.x-v.x)+(a.y-v.y)*(a.y-v.y))) AS d,
+    arg_min({'x': v.x, 'y': v.y}, {'d': sqrt((a.x-v.x)*(a.x-v.x)+(a.y-v.y)*(a.y-v.y)), 'id': v.vertex}) AS best
+  FROM a JOIN v ON a.cloud = v.cloud GROUP BY ALL)),
+c AS (SELECT cloud, sum(w*px)/sum(w) AS px, sum(w*py)/sum(w) AS py, sum(w*vx)/sum(w) AS vx, sum(w*vy)/sum(w) AS vy FROM m GROUP BY cloud),
+t AS (SELECT cloud, any_value(c.px) AS px, any_value(c.py) AS py, any_value(c.vx) AS vx, any_value(c.vy) AS vy,
+  atan2(sum(w*((m.vx-c.vx)*(m.py-c.py) - (m.vy-c.vy)*(m.px-c.px))), sum(w*((m.vx-c.vx)*(m.px-c.px) + (m.vy-c.vy)*(m.py-c.py)))) AS g
+  FROM m JOIN c USING (cloud) GROUP BY cloud)"""
+
+
+@query(
+    "icp_planar",
+    """SELECT cloud, round(g, 5) AS angle, round(avg(sqrt(dx*dx + dy*dy)), 5) AS moved_m FROM (
+ SELECT v.cloud, g, cos(g)*(x-vx) - sin(g)*(y-vy) + px - x AS dx, sin(g)*(x-vx) + cos(g)*(y-vy) + py - y AS dy FROM v JOIN t USING (cloud))
+GROUP BY cloud, g""",
+    views=("fx_points",),
+    ctes=_PLANE,
+)
+def icp_planar(spark, sf):
+    p = fx.points(spark, sf).withColumn("z", F.lit(0.0))
+    pts = p.where("channel <= 4").select("cloud", "idx", "x", "y", "z")
+    verts = p.where("channel > 4").select("cloud", F.col("idx").alias("vertex"), "col", "x", "y", "z")
+    seen = verts.where("col < 384")
+    pose = M.registered(pts, verts, "cloud", ("idx", "vertex"), 1, seen, 0.5)
+    moved = M.icp_residual(pts, verts, "cloud", ("idx", "vertex"), 1, seen, 0.5)
+    angle = F.atan2(F.col("r")[3], F.col("r")[0])
+    return pose.join(moved, "cloud").select("cloud", _r(angle, 5).alias("angle"), _r("moved_m", 5).alias("moved_m"))
+
+
 # turns about one axis: their mean rotation is that of the mean direction
 _TURNS = """turn AS (SELECT ds, 0.01E0*(rec % 50) AS a FROM fx_joints WHERE joint = 0),
 mean_turn AS (SELECT ds, atan2(avg(sin(a)), avg(cos(a))) AS m FROM turn GROUP BY ds)"""

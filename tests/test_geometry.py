@@ -197,6 +197,41 @@ def test_icp_finds_a_shift(spark):
     assert moved == pytest.approx(np.linalg.norm([0.05, -0.02, 0.03]), abs=0.005)
 
 
+def test_robust_registration_equals_numpy(spark):
+    rng = np.random.default_rng(4)
+    points, verts, facing, want = [], [], [], {}
+    for rec in range(20):
+        v = rng.uniform(-1, 1, (60, 3))
+        seen = np.sort(rng.choice(60, 40, replace=False))
+        a = rng.uniform(-0.1, 0.1)
+        turn = np.array([[np.cos(a), -np.sin(a), 0], [np.sin(a), np.cos(a), 0], [0, 0, 1]])
+        p = v[seen] @ turn.T + rng.uniform(-0.05, 0.05, 3)
+        p[:6] += rng.uniform(1, 3, (6, 3))  # outliers
+        points += [(rec, i, *map(float, x)) for i, x in enumerate(p)]
+        verts += [(rec, i, *map(float, x)) for i, x in enumerate(v)]
+        facing += [(rec, int(i)) for i in seen]
+        r, t, s = np.eye(3), np.zeros(3), v[seen]
+        for _ in range(4):
+            d = np.linalg.norm((s @ r.T + t)[None] - p[:, None], axis=2)
+            src, w = s[d.argmin(1)], np.minimum(1, 0.05 / np.maximum(d.min(1), 1e-12))[:, None]
+            ms, mp = (w * src).sum(0) / w.sum(), (w * p).sum(0) / w.sum()
+            u, _, vt = np.linalg.svd((w * (p - mp)).T @ (src - ms) / w.sum() + 1e-8 * np.eye(3))
+            r = u @ np.diag([1, 1, np.linalg.det(u @ vt)]) @ vt
+            t = mp - r @ ms
+        want[rec] = (r, t, np.linalg.norm(s @ r.T + t - s, axis=1).mean(), turn)
+    p = spark.createDataFrame(points, "rec int, p int, x double, y double, z double")
+    v = spark.createDataFrame([*verts, (99, 0, 0.0, 0.0, 0.0)], "rec int, v int, x double, y double, z double")
+    f = spark.createDataFrame([*facing, (99, 0)], "rec int, v int")
+    pose = {r["rec"]: r for r in M.registered(p, v, "rec", ("p", "v"), 4, f, 0.05).collect()}
+    moved = {r["rec"]: r["moved_m"] for r in M.icp_residual(p, v, "rec", ("p", "v"), 4, f, 0.05).collect()}
+    assert moved.pop(99) == 0 and set(moved) == set(want)
+    for rec, (r, t, way, turn) in want.items():
+        assert np.allclose(np.reshape(pose[rec]["r"], (3, 3)), r, atol=1e-6) and np.allclose(pose[rec]["t"], t, atol=1e-6)
+        assert moved[rec] == pytest.approx(way, abs=1e-6)
+    # outliers are a sixth of the returns and hardly turn the result
+    assert np.median([np.abs(w[0] - w[3]).max() for w in want.values()]) < 0.03
+
+
 def test_rotation_prior(spark):
     data = [(0, float(a)) for a in (-0.2, -0.1, 0.0, 0.1, 0.2)]
     d = spark.createDataFrame(data, "joint int, a double").select("joint", V.yaw_matrix(F.col("a")).alias("r"))
