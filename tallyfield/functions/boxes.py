@@ -10,21 +10,20 @@ from functools import reduce
 from itertools import product
 from operator import mul
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from tallyfield.functions.vectors import (
+    let,
     mat_vec,
     rotation_of,
     se3_apply,
+    total,
     vec,
 )
 
 UP = 1  # index of the up axis
+EDGE = 1e-9  # metres below which an edge lies on another
 
 
 def _order(up: int) -> list[int]:
@@ -122,70 +121,67 @@ def iou3d_aligned(a: Column, b: Column) -> Column:
     return F.when(union > 0, inter / union).otherwise(0.0)
 
 
-def _ground_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Area shared by pairs of turned rectangles, for a whole batch at once.
+def _inside(p: list[Column], q: list[Column], half: list[Column], owned: bool) -> Column:
+    """Part of the edge p + t q, t in [0, 1], that lies in the rectangle |x| <= half around the origin.
 
-    The shared polygon is spanned by the corners of each inside the other and the crossings
-    of their edges; its area follows after sorting those points around their mean.
+    An edge along a side of the rectangle is inside if both run the same way round, and only for
+    ``owned`` edges, so a side that two rectangles share counts once.
     """
+    low, high = [F.lit(0.0)], [F.lit(1.0)]
+    for i, way in ((0, 1.0), (1, -1.0)):
+        along = F.abs(q[i]) <= EDGE
+        strict = F.abs(p[i]) < half[i] - EDGE
+        side = (F.abs(F.abs(p[i]) - half[i]) <= EDGE) & (p[i] * q[1 - i] * way > 0)
+        kept = (strict | side) if owned else strict
+        step = F.when(along, 1.0).otherwise(q[i])
+        first, last = (-half[i] - p[i]) / step, (half[i] - p[i]) / step
+        low.append(F.when(along, F.when(kept, 0.0).otherwise(2.0)).otherwise(F.least(first, last)))
+        high.append(F.when(along, F.when(kept, 1.0).otherwise(-1.0)).otherwise(F.greatest(first, last)))
+    return F.greatest(F.least(*high) - F.greatest(*low), F.lit(0.0))
+
+
+def ground_overlap(a: Column, b: Column) -> Column:
+    """Area shared by two turned rectangles on the ground, as the integral along the shared boundary.
+
+    The boundary is made of the parts of each rectangle's edges inside the other. Seen from one
+    rectangle's axes, the other's edges are cut by two strips, so no polygon is ever built.
+    """
+    cb, sb, turn = F.cos(b[6]), F.sin(b[6]), a[6] - b[6]
+    dx, dz = a[0] - b[0], a[2] - b[2]
+    frame = F.array(
+        cb * dx + sb * dz, cb * dz - sb * dx, F.cos(turn), F.sin(turn), a[3] / 2.0, a[5] / 2.0, b[3] / 2.0, b[5] / 2.0
+    )
 
-    def corners(x):
-        c, s = np.cos(x[:, 6]), np.sin(x[:, 6])
-        sa = np.array([-0.5, 0.5, 0.5, -0.5]) * x[:, 3:4]
-        sb = np.array([-0.5, -0.5, 0.5, 0.5]) * x[:, 5:6]
-        u = x[:, 0:1] + c[:, None] * sa - s[:, None] * sb
-        v = x[:, 2:3] + s[:, None] * sa + c[:, None] * sb
-        return np.stack([u, v], -1)
-
-    def within(p, x):
-        c, s = np.cos(x[:, 6])[:, None], np.sin(x[:, 6])[:, None]
-        u, v = p[..., 0] - x[:, 0:1], p[..., 1] - x[:, 2:3]
-        eps = 1e-9
-        return (np.abs(c * u + s * v) <= x[:, 3:4] / 2 + eps) & (
-            np.abs(c * v - s * u) <= x[:, 5:6] / 2 + eps
-        )
-
-    pa, pb = corners(a), corners(b)
-    da, db = np.roll(pa, -1, 1) - pa, np.roll(pb, -1, 1) - pb
-    p, r = pa[:, :, None], da[:, :, None]
-    q, s = pb[:, None], db[:, None]
-    den = r[..., 0] * s[..., 1] - r[..., 1] * s[..., 0]
-    off = q - p
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = (off[..., 0] * s[..., 1] - off[..., 1] * s[..., 0]) / den
-        u = (off[..., 0] * r[..., 1] - off[..., 1] * r[..., 0]) / den
-    hit = (np.abs(den) > 1e-12) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-    cross = p + np.where(hit, t, 0.0)[..., None] * r
-    n = len(a)
-    pts = np.concatenate([pa, pb, cross.reshape(n, 16, 2)], 1)
-    ok = np.concatenate([within(pa, b), within(pb, a), hit.reshape(n, 16)], 1)
-    count = ok.sum(1)
-    mean = (pts * ok[..., None]).sum(1) / np.maximum(count, 1)[:, None]
-    rel = pts - mean[:, None]
-    angle = np.where(ok, np.arctan2(rel[..., 1], rel[..., 0]), np.inf)
-    order = np.argsort(angle, 1)
-    rel = np.take_along_axis(rel, order[..., None], 1)
-    # unused places repeat the first point, which adds no area
-    used = np.arange(rel.shape[1])[None] < count[:, None]
-    rel = np.where(used[..., None], rel, rel[:, :1])
-    nxt = np.roll(rel, -1, 1)
-    area = 0.5 * np.abs((rel[..., 0] * nxt[..., 1] - rel[..., 1] * nxt[..., 0]).sum(1))
-    return np.where(count >= 3, area, 0.0)
-
-
-@pandas_udf(DoubleType())
-def iou3d(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Exact 3D overlap ratio of yawed boxes, one Arrow batch at a time."""
-    some = a.notna() & b.notna()
-    out = np.full(len(a), np.nan)
-    if some.any():
-        x, y = np.stack(a[some].to_numpy()), np.stack(b[some].to_numpy())
-        lo = np.maximum(x[:, 1] - x[:, 4] / 2, y[:, 1] - y[:, 4] / 2)
-        hi = np.minimum(x[:, 1] + x[:, 4] / 2, y[:, 1] + y[:, 4] / 2)
-        inter = _ground_overlap(x, y) * np.maximum(hi - lo, 0.0)
-        union = x[:, 3:6].prod(1) + y[:, 3:6].prod(1) - inter
-        out[some.to_numpy()] = np.where(union > 0, inter / np.where(union > 0, union, 1.0), 0.0)
-    return pd.Series(out).where(some.to_numpy())
+    def area(f: Column) -> Column:
+        c, s = f[2], f[3]
+        ends = ((-1.0, -1.0, 1.0, 0.0), (1.0, -1.0, 0.0, 1.0), (1.0, 1.0, -1.0, 0.0), (-1.0, 1.0, 0.0, -1.0))
+        sums = []
+        for u, v, du, dv in ends:
+            # an edge of a as b sees it, and how much area it sweeps around the middle of b
+            p = [f[0] + c * f[4] * u - s * f[5] * v, f[1] + s * f[4] * u + c * f[5] * v]
+            q = [c * f[4] * (2 * du) - s * f[5] * (2 * dv), s * f[4] * (2 * du) + c * f[5] * (2 * dv)]
+            sums.append(_inside(p, q, [f[6], f[7]], True) * (p[0] * q[1] - p[1] * q[0]))
+            # an edge of b as a sees it; each sweeps a quarter of b
+            x, y = f[6] * u - f[0], f[7] * v - f[1]
+            p = [c * x + s * y, c * y - s * x]
+            q = [c * f[6] * (2 * du) + s * f[7] * (2 * dv), c * f[7] * (2 * dv) - s * f[6] * (2 * du)]
+            sums.append(_inside(p, q, [f[4], f[5]], False) * (2.0 * f[6] * f[7]))
+        return F.greatest(total(sums) / 2.0, F.lit(0.0))
+
+    return let(frame, area)
+
+
+def iou3d(a: Column | str, b: Column | str) -> Column:
+    """Exact 3D overlap ratio of yawed boxes; null if one of them is."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    inter = ground_overlap(a, b) * _overlap(a, b, UP)
+    vol_a, vol_b = (reduce(mul, [x[3 + i] for i in range(3)]) for x in (a, b))
+
+    def ratio(i: Column) -> Column:
+        union = vol_a + vol_b - i
+        return F.when(union > 0, i / union).otherwise(0.0)
+
+    return F.when(a.isNotNull() & b.isNotNull(), let(inter, ratio))
 
 
 def box_terms(gt: Column, pred: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tallyfield.functions import boxes as B
@@ -180,16 +182,15 @@ def keypoint_placement(spark, sf):
     """SELECT rec, CASE WHEN n < 2 THEN 128.0 ELSE round((x0+x1)/2, 4) END AS cx,
   CASE WHEN n < 2 THEN 128.0 ELSE round((y0+y1)/2, 4) END AS cy,
   CASE WHEN n < 2 THEN 256.0 ELSE round(greatest(64, 1.2*greatest(x1-x0, y1-y0)), 4) END AS side
- FROM (SELECT rec, count(*) FILTER (valid AND joint < 3) n, min(x) FILTER (valid AND joint < 3)*300 x0,
-   max(x) FILTER (valid AND joint < 3)*300 x1, min(y) FILTER (valid AND joint < 3)*300 y0,
-   max(y) FILTER (valid AND joint < 3)*300 y1 FROM fx_joints GROUP BY rec)""",
+ FROM (SELECT rec, count(*) FILTER (valid) n, min(x) FILTER (valid)*300 x0, max(x) FILTER (valid)*300 x1,
+   min(y) FILTER (valid)*300 y0, max(y) FILTER (valid)*300 y1 FROM fx_joints GROUP BY rec)""",
     views=("fx_joints",),
 )
 def keypoint_boxes(spark, sf):
     d = fx.joints(spark, sf)
     kp = F.zip_with(
-        F.slice("gt", 1, 3),
-        F.slice("valid", 1, 3),
+        "gt",
+        "valid",
         lambda p, v: F.array(p[0] * 300, p[1] * 300, v.cast("double")),
     )
     d = d.select("rec", P.keypoint_box(kp).alias("b"))
@@ -254,6 +255,22 @@ def box_overlap(spark, sf):
     return d.select("rec", _r(B.iou3d("box", "pred"), 5).alias("iou"))
 
 
+@query(
+    "turned_overlap",
+    """SELECT rec, round(inter / (a*a + b*b - inter), 6) AS iou FROM (SELECT *, CASE
+  WHEN h <= a/2 THEN b*b WHEN h >= a THEN a*a ELSE a*a - 2*(a - h)*(a - h) END AS inter
+ FROM (SELECT rec, dx AS a, dz AS b, dz / sqrt(2.0) AS h FROM fx_boxes))""",
+    views=("fx_boxes",),
+)
+def turned_overlap(spark, sf):
+    # a square and one around the same middle, an eighth turn on: they share an octagon at most
+    d = fx.boxes(spark, sf)
+    at = [F.col("cx"), F.col("cy"), F.col("cz")]
+    one = F.array(*at, "dx", "dy", "dx", F.col("rec") * 0.37)
+    two = F.array(*at, "dz", "dy", "dz", F.col("rec") * 0.37 + math.pi / 4)
+    return d.select("rec", _r(B.iou3d(one, two), 6).alias("iou"))
+
+
 _AP = (
     _PRED_IOU
     + """, t AS (SELECT b.frame, b.rec, b.score, t.thr, CAST(b.iou >= t.thr AS INT) AS tp FROM iou b

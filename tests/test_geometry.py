@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from polygons import ground_overlap
 from tallyfield.functions import boxes as B
 from tallyfield.functions import camera as C
 from tallyfield.functions import scan as S
@@ -70,6 +71,28 @@ def test_overlap_of_boxes(spark):
     assert iou(spark, same, same) == pytest.approx(1.0)
 
 
+def test_overlap_equals_polygons(spark):
+    rnd = np.random.default_rng(2)
+    pairs = []
+    for i in range(600):
+        a = [*rnd.uniform(-1, 1, 3), *rnd.uniform(0.2, 3, 3), rnd.uniform(-4, 4)]
+        b = [*rnd.uniform(-1, 1, 3), *rnd.uniform(0.2, 3, 3), rnd.uniform(-4, 4)]
+        if i % 4 == 1:  # sides along each other, some shared
+            b = [a[0] + rnd.choice([0.0, a[3], -a[3] / 2]), a[1], a[2], *a[3:6], a[6] * 0 + rnd.choice([0, math.pi / 2, math.pi])]
+            a[6] = 0.0
+        if i % 4 == 2:  # the same, or nearly
+            b = [*a[:6], a[6] + rnd.choice([0.0, 1e-12, 1e-7, math.pi])]
+        pairs.append((list(map(float, a)), list(map(float, b))))
+    d = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a array<double>, b array<double>")
+    got = d.select("i", B.ground_overlap(F.col("a"), F.col("b")).alias("s"), B.iou3d("a", "b").alias("iou")).orderBy("i").collect()
+    a, b = (np.array([p[k] for p in pairs]) for k in (0, 1))
+    assert np.allclose([r["s"] for r in got], ground_overlap(a, b), atol=2e-6)
+    assert all(0 <= r["iou"] <= 1 + 1e-9 for r in got)
+    none = spark.createDataFrame([(None, [0.0] * 7)], "a array<double>, b array<double>")
+    assert none.select(B.iou3d("a", "b")).first()[0] is None
+    assert "Python" not in d.select(B.iou3d("a", "b"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_oriented_box_is_recovered(spark):
     yaw = 0.4
     c, s = math.cos(yaw), math.sin(yaw)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from polygons import ground_overlap
 from tallyfield.operators.evaluation import pairwise_iou
 from tallyfield.operators.records import points_in_box
 from tallyfield.operators.spatial import PointIndex, nearest
@@ -124,13 +125,11 @@ def test_pairwise_overlap_finds_every_pair_once(spark):
     got = pairwise_iou(d, d, "frame", ("rec", "rec"), cell_m=3.0).collect()
     pairs = [(r["rec_a"], r["rec_b"]) for r in got]
     assert len(pairs) == len(set(pairs))
-    from tallyfield.functions.boxes import _ground_overlap
-
     for f, i, a in data:
         for g, j, b in data:
             if f != g:
                 continue
-            area = _ground_overlap(np.array([a]), np.array([b]))[0]
+            area = ground_overlap(np.array([a]), np.array([b]))[0]
             high = max(0, min(a[1] + 0.75, b[1] + 0.75) - max(a[1] - 0.75, b[1] - 0.75))
             assert ((i, j) in pairs) == (area * high > 1e-12)
 
