@@ -42,9 +42,7 @@ def records_of_first_files(spark, sf):
     base = scratch_path(spark, "records")
     d = fx.records(spark, sf).repartition("ds")
     d.withColumn("shard", F.col("ds")).write.partitionBy("shard").parquet(base)
-    folder = F.regexp_extract("_metadata.file_path", r"(shard=\d+)", 1)
-    got = spark.read.parquet(base).select("*", folder.alias("file"))
-    return T.limit_files(got, 2).agg(
+    return T.limit_files(spark.read.parquet(base), 2, r"shard=\d+").agg(
         F.count(F.lit(1)).alias("n"), F.min("ds").alias("lo"), F.max("ds").alias("hi")
     )
 
@@ -517,3 +515,33 @@ def registry_loaded(spark, sf):
     return out.unionByName(
         spark.range(1).select(F.lit("skipped").alias("rig"), F.lit(len(skipped)).cast("long").alias("n"))
     )
+
+
+@query(
+    "records_generated",
+    """SELECT ds, count(*) AS n, count(points) AS with_points, count(*) FILTER (status = 'accepted') AS accepted, sum(rec)::BIGINT AS rec_sum
+ FROM (SELECT r.*, points, CASE WHEN box_h < 90 OR box_w < 35 THEN 'rejected_box' WHEN coalesce(points, 0) < 4
+  THEN 'rejected_points' ELSE 'accepted' END AS status
+  FROM (SELECT *, row_number() OVER (PARTITION BY ds, seq ORDER BY rec) AS rn FROM fx_records WHERE rec % 5 <> 0) r
+  LEFT JOIN scans USING (rec) WHERE (rn - 1) % 3 = 0) GROUP BY ds""",
+    views=("fx_records", "fx_points"),
+    ctes=_SCANS,
+)
+def records_generated(spark, sf):
+    from tallyfield.operators.generate import generate_records
+
+    d = fx.records(spark, sf)
+    # each frame has its image; the depth file of every fifth is missing
+    kinds = F.explode(F.when(F.col("rec") % 5 == 0, F.array(F.lit("png"))).otherwise(F.array(F.lit("png"), F.lit("depth"))))
+    files = d.select("ds", "seq", "rec", kinds.alias("kind"))
+    path = scratch_path(spark, "generated")
+    made = generate_records(
+        d, files, _counts(spark, sf), path, frame=["ds", "seq", "rec"], sequence=["ds", "seq"], label_on="rec", stride=3, n=4
+    )
+    got = spark.read.parquet(path)
+    per = got.groupBy("ds").agg(
+        F.count(F.lit(1)).alias("n"), F.count("points").alias("with_points"),
+        F.count(F.when(F.col("status") == "accepted", 1)).alias("accepted"), F.sum("rec").alias("rec_sum"),
+    )
+    total = F.lit(made["records"]) == F.lit(made["accepted"] + made["rejected_box"] + made["rejected_points"])
+    return per.where(total)
