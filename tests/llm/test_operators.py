@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,22 @@ def test_jaccard_links_and_classes(docs, monkeypatch, block, size):
     assert sum(links.values()) > 0
 
 
+@pytest.mark.parametrize("share", [0.8, 0.4])
+def test_minima_agree_as_often_as_sets_do(share):
+    rng = np.random.default_rng(3)
+    times = rng.integers(0, 1 << 31, 144, np.uint32) * np.uint32(2) + np.uint32(1)
+    plus, room = rng.integers(0, 1 << 32, 144, np.uint32), np.empty((144, 100), np.uint32)
+    both = round(200 * 2 * share / (1 + share))
+    agree, found = [], []
+    for _ in range(600):
+        x = rng.integers(0, 1 << 63, 400 - both, np.uint64)
+        e = jaccard.minima(x[:200], times, plus, room) == jaccard.minima(x[200 - both :], times, plus, room)
+        agree.append(e.mean())
+        found.append(e.reshape(jaccard.BANDS, jaccard.ROWS).all(axis=1).any())
+    assert abs(np.mean(agree) - both / (400 - both)) < 0.01
+    assert np.mean(found) > 0.99 if share == 0.8 else np.mean(found) < 0.2
+
+
 def test_jaccard_edges(odd):
     got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in jaccard.joined(odd).collect())
     assert got == sorted([
