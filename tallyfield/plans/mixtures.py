@@ -227,19 +227,27 @@ def ranges_jittered(spark, sf):
     return d.select("idx", _r("z").alias("z"))
 
 
+def _outlier_sum(axis):
+    return f"round(sum(l{axis} + {linear_sql(f'outlier.{axis}', 'i', 9)} * (h{axis} - l{axis})), 4) AS sum_{axis}"
+
+
 @query(
     "outliers_added",
-    """SELECT cloud, count(*) + CAST(round_even(count(*) * 0.05E0, 0) AS BIGINT) AS n, CAST(round_even(count(*) * 0.05E0, 0) AS BIGINT) AS outliers, true AS inside FROM fx_points GROUP BY cloud""",
+    f"""SELECT cloud, any_value(n) + count(*) AS n, count(*) AS outliers, {_outlier_sum("x")}, {_outlier_sum("y")}, {_outlier_sum("z")}
+ FROM (SELECT *, unnest(range(1, CAST(round_even(n * 0.05E0, 0) AS BIGINT) + 1)) AS i FROM (SELECT cloud, count(*) AS n,
+  min(x) - 0.3 AS lx, max(x) + 0.3 AS hx, min(y) - 0.3 AS ly, max(y) + 0.3 AS hy, min(z) - 0.3 AS lz, max(z) + 0.3 AS hz
+  FROM fx_points GROUP BY cloud)) GROUP BY cloud""",
     views=("fx_points",),
 )
 def outliers_added(spark, sf):
-    d = A.add_outliers(fx.points(spark, sf), "cloud", 0.05, 0.3, hashed(9))
-    inside = F.col("x").between(-10.31, 10.31) & F.col("y").between(-2.31, 2.31)
-    return d.groupBy("cloud").agg(
+    d = A.add_outliers(fx.points(spark, sf), "cloud", 0.05, 0.3, linear(9))
+    out = F.col("outlier")
+    found = d.groupBy("cloud").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count(F.when(F.col("outlier"), 1)).alias("outliers"),
-        F.bool_and(inside).alias("inside"),
+        F.count(F.when(out, 1)).alias("outliers"),
+        *[_r(F.sum(F.when(out, F.col(c))), 4).alias(f"sum_{c}") for c in "xyz"],
     )
+    return found.where("outliers > 0")
 
 
 _CHANNELS = " UNION ALL ".join(
@@ -277,18 +285,28 @@ def clouds_augmented(spark, sf):
     )
 
 
+_TURNS = ", ".join(f"radians({_normal_sql(f'rot{i}', 'rec', 12)}) AS a{i}" for i in range(3))
+_SHIFTS = [f"0.02*{_normal_sql(f'shift{i}', 'rec', 12)}" for i in range(3)]
+
+
 @query(
     "poses_perturbed",
-    "SELECT rec, true AS rigid, true AS moved FROM fx_boxes",
+    f"""SELECT rec, round(cx + {_SHIFTS[0]}, 5) AS x, round({_SHIFTS[1]}, 5) AS y, round(cz + {_SHIFTS[2]}, 5) AS z,
+  round(cos(a1)*cos(a2) + cos(a0)*cos(a2) + cos(a0)*cos(a1) + sin(a0)*sin(a1)*sin(a2), 7) AS trace, true AS rigid
+ FROM (SELECT *, {_TURNS} FROM fx_boxes)""",
     views=("fx_boxes",),
 )
 def poses_perturbed(spark, sf):
     d = fx.boxes(spark, sf)
     pose = V.se3(V.yaw_matrix(F.col("score")), vec(F.col("cx"), 0.0, F.col("cz")))
     d = d.select("rec", pose.alias("pose"))
-    d = d.withColumn("new", A.perturb_pose(F.col("pose"), hashed(12), 1.0, 0.02, F.col("rec")))
-    gap = V.distance(V.translation_of(F.col("pose")), V.translation_of(F.col("new")))
-    return d.select("rec", V.check_rigid(F.col("new")).alias("rigid"), ((gap > 0) & (gap < 0.5)).alias("moved"))
+    d = d.withColumn("new", A.perturb_pose(F.col("pose"), linear(12), 1.0, 0.02, F.col("rec")))
+    at = V.translation_of(F.col("new"))
+    # the turn that was put in front: new times the transpose of old has its trace
+    old, new = V.rotation_of(F.col("pose")), V.rotation_of(F.col("new"))
+    d = d.select("rec", at.alias("t"), old.alias("o"), new.alias("n"), V.check_rigid(F.col("new")).alias("rigid"))
+    trace = V.total([F.col("n")[i] * F.col("o")[i] for i in range(9)])
+    return d.select("rec", *[_r(F.col("t")[i]).alias(c) for i, c in enumerate("xyz")], _r(trace, 7).alias("trace"), "rigid")
 
 
 @query(
