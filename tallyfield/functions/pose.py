@@ -89,11 +89,8 @@ def pve(gt: Column, pred: Column, gt_root: Column, pred_root: Column) -> Column:
 
 
 @pandas_udf(DoubleType())
-def pa_mpjpe(gt: pd.Series, pred: pd.Series, valid: pd.Series) -> pd.Series:
-    """MPJPE after the best similarity transform of the prediction onto the truth.
-
-    One stacked SVD per Arrow batch and joint count; records without a valid joint give NULL.
-    """
+def _aligned_error(gt: pd.Series, pred: pd.Series, valid: pd.Series) -> pd.Series:
+    """:func:`pa_mpjpe` of flat coordinates; one stacked SVD per Arrow batch and joint count."""
     out = np.full(len(gt), np.nan)
     some = (gt.notna() & pred.notna() & valid.notna()).to_numpy()
     counts = np.array([len(v) if ok else 0 for v, ok in zip(valid, some)])
@@ -101,10 +98,10 @@ def pa_mpjpe(gt: pd.Series, pred: pd.Series, valid: pd.Series) -> pd.Series:
         at = np.flatnonzero(counts == n)
 
         def stack(s, at=at):
-            return np.stack([np.stack(list(s.iloc[i])) for i in at]).astype(float)
+            return np.concatenate(s.to_numpy()[at]).astype(float).reshape(len(at), -1, 3)
 
         g, p = stack(gt), stack(pred)
-        w = np.stack([np.asarray(valid.iloc[i], bool) for i in at]).astype(float)[..., None]
+        w = (np.concatenate(valid.to_numpy()[at]).reshape(len(at), -1) == True).astype(float)[..., None]  # noqa: E712
         has = w.sum(1)[:, 0] > 0
         m = np.maximum(w.sum(1), 1.0)[:, None]
         g = np.where(w > 0, g, 0.0)
@@ -123,6 +120,17 @@ def pa_mpjpe(gt: pd.Series, pred: pd.Series, valid: pd.Series) -> pd.Series:
     return pd.Series(out).where(~np.isnan(out))
 
 
+def pa_mpjpe(gt: Column | str, pred: Column | str, valid: Column | str) -> Column:
+    """MPJPE after the best similarity transform of the prediction onto the truth.
+
+    Records without a valid joint give NULL. Joints travel as one flat array per record.
+    """
+    gt, pred, valid = (F.col(c) if isinstance(c, str) else c for c in (gt, pred, valid))
+    none = F.array(*[F.lit(float("nan"))] * 3)
+    flat = [F.flatten(F.transform(c, lambda x: F.coalesce(x, none))) for c in (gt, pred)]
+    return _aligned_error(*flat, valid)
+
+
 def convention_id(col: Column, known: Sequence[str] = JOINT_CONVENTIONS) -> Column:
     """Index of the joint convention, 0 for an unknown one."""
     return F.greatest(

@@ -97,6 +97,29 @@ def pa_mpjpe_by_record(spark, sf):
     return d.select("rec", "ds", _r(P.pa_mpjpe("gt", "pred", "valid"), 3).alias("pa_mpjpe"))
 
 
+# in a plane the best rotation in space is a turn or a mirror image, whichever agrees more
+_FLAT = """j AS (SELECT rec, joint, g.x AS gx, g.y AS gy, p.x AS px, p.y AS py FROM fx_joints g JOIN fx_pred p USING (rec, joint) WHERE valid),
+c AS (SELECT *, gx - avg(gx) OVER r AS ax, gy - avg(gy) OVER r AS ay, px - avg(px) OVER r AS qx, py - avg(py) OVER r AS qy FROM j WINDOW r AS (PARTITION BY rec)),
+h AS (SELECT rec, sum(qx*ax) AS xx, sum(qx*ay) AS xy, sum(qy*ax) AS yx, sum(qy*ay) AS yy, sum(qx*qx + qy*qy) AS spread FROM c GROUP BY rec),
+t AS (SELECT rec, spread, CASE WHEN turn >= mirror THEN 1 ELSE -1 END AS way, greatest(turn, mirror) AS size,
+  CASE WHEN turn >= mirror THEN atan2(xy - yx, xx + yy) ELSE atan2(xy + yx, xx - yy) END AS a
+ FROM (SELECT *, sqrt((xx+yy)*(xx+yy) + (xy-yx)*(xy-yx)) AS turn, sqrt((xx-yy)*(xx-yy) + (xy+yx)*(xy+yx)) AS mirror FROM h))"""
+
+
+@query(
+    "pa_mpjpe_planar",
+    """SELECT rec, round(1000 * avg(sqrt(dx*dx + dy*dy)), 3) AS pa_mpjpe FROM (
+ SELECT rec, size/spread*(cos(a)*qx - sin(a)*way*qy) - ax AS dx, size/spread*(sin(a)*qx + cos(a)*way*qy) - ay AS dy FROM c JOIN t USING (rec))
+GROUP BY rec""",
+    views=("fx_joints", "fx_pred"),
+    ctes=_FLAT,
+)
+def pa_mpjpe_planar(spark, sf):
+    flat = [F.transform(c, lambda p: F.array(p[0], p[1], F.lit(0.0))) for c in ("gt", "pred")]
+    d = fx.scored(spark, sf).select("rec", P.pa_mpjpe(*flat, "valid").alias("e"))
+    return d.where("e is not null").select("rec", _r("e", 3).alias("pa_mpjpe"))
+
+
 @query(
     "centred_joints",
     """SELECT rec, round(x - mx, 5) AS x0, round(y - my, 5) AS y0, round(z - mz, 5) AS z0
