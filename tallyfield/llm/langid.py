@@ -26,6 +26,7 @@ REJECT_BELOW = 0.001  # share of training texts that may lie farther out
 BATCH = 256
 UNKNOWN = "und"
 MAX_MODEL = 256 << 20  # bytes of all centroids that may be sent to every task
+MAX_LANGS = 100_000  # rows of a table by language that may be broadcast
 
 # 1 for bytes of letters: ASCII letters, and all bytes of other characters
 _LETTER = np.array([1 if chr(b).isalpha() or b >= 128 else 0 for b in range(256)], np.uint8)
@@ -141,7 +142,10 @@ def identified(
     hashed = train.select("_lang", "_text", F.shiftrightunsigned(F.xxhash64("_text"), 1).alias("h"))
     per = hashed.select("_lang", "h").distinct().groupBy("_lang").agg(F.count(F.lit(1)).alias("_texts"))
     share = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("_texts"))
-    low = hashed.join(per.select("_lang", share.alias("_share")), "_lang")
+    per = checkpoint(per.select("_lang", share.alias("_share")))  # a row per language
+    if per.count() <= MAX_LANGS:
+        per = F.broadcast(per)  # training texts are cut to the sample before they are dealt by language
+    low = hashed.join(per, "_lang")
     low = low.where(F.col("h") <= F.col("_share") * float((1 << 63) - 1)).groupBy("_lang", "h").agg(F.first("_text").alias("_text"))
     fitted = checkpoint(low.groupBy("_lang").applyInPandas(_fit(idf, k, sample), "lang string, lowest double, centre binary"))
     if fitted.count() * PLACES * 4 > MAX_MODEL:
