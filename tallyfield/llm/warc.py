@@ -27,6 +27,9 @@ from tallyfield.session import checkpoint, scratch_path
 
 LEAST = 1000  # bytes of a payload that may be a revisit
 LINES = 3000  # of an index block
+READ_BYTES = 32 << 20  # of the archives that one task of a look-up reads
+SMALL = 64 << 20  # bytes that may be broadcast
+DIGEST_BYTES = 100  # of a payload that occurs twice
 FILE_BYTES = 1 << 30  # an archive is closed beyond this
 DATE = "1970-01-01T00:00:00Z"  # of records whose table has no time
 
@@ -220,18 +223,27 @@ class Archive:
         html = F.coalesce("html", F.lit(""))
         p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
         p = p.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-        last = p.where(F.octet_length("html") >= LEAST).groupBy("digest").agg(F.max("page_id").alias("last"))
         # only payloads that occur twice have anything to refer to
-        p = p.join(last.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of"), "left")
+        last = p.where(F.octet_length("html") >= LEAST).groupBy(F.col("digest").alias("of")).agg(
+            F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")
+        )
+        last = checkpoint(last.where("n > 1").select("of", "last"))
+        if last.count() * DIGEST_BYTES <= SMALL:
+            last = F.broadcast(last)  # pages stay where they are
+        p = p.join(last, F.col("digest") == F.col("of"), "left")
         refers = F.when(F.col("page_id") < F.col("last"), F.col("last"))
         written = p.select("page_id", "url", "html", "digest", refers.alias("refers_to")).mapInPandas(_write(self.folder), _PAGES)
         self.captures = checkpoint(written)
         ordered = self.captures.repartitionByRange("key").sortWithinPartitions("key")
         made = checkpoint(ordered.mapInPandas(_index(self.folder), _FILES))
+        size = self.captures.agg(F.sum("size")).first()[0] or 0
+        self.parts = max(spark.sparkContext.defaultParallelism, -(-size // READ_BYTES))
         # one row per partition of the index
         self.index = [tuple(r) for r in made.orderBy("first", "last").collect()]
 
     def lookup(self, keys: DataFrame) -> DataFrame:
         """Records of the captures whose ``key`` (see ``url_key``) is among ``keys``, repeats once."""
-        near = keys.select("key").where("key is not null").distinct().repartitionByRange("key").sortWithinPartitions("key")
+        near = keys.select("key").where("key is not null").distinct()
+        # the bytes to read, not those of the keys, tell how many tasks there are
+        near = near.repartitionByRange(self.parts, "key").sortWithinPartitions("key")
         return near.mapInPandas(_read(self.folder, self.index), _RECORDS)
