@@ -114,20 +114,24 @@ def subsample(
 def sample_points(
     df: DataFrame, cloud: str, idx: str, n: int, draw: Draw | None = None
 ) -> DataFrame:
-    """Exactly ``n`` rows per cloud: a random subset, or all points and repeats.
+    """Exactly ``n`` rows per cloud: a random subset, or all points and random repeats.
 
-    Repeats carry ``point_valid`` false; a cloud without points gives no rows. ``slot`` numbers
-    the rows 0 .. n - 1.
+    Repeats are drawn with replacement and carry ``point_valid`` false; a cloud without points gives
+    no rows. ``slot`` numbers the rows 0 .. n - 1.
     """
     draw = draw or hashed()
     w = Window.partitionBy(cloud).orderBy("_u", idx)
     d = df.withColumn("_u", draw("sample", F.col(idx), F.col(cloud))).withColumn("_rn", F.row_number().over(w))
-    kept = d.where(F.col("_rn") <= n)
-    sized = with_group(kept, [cloud], F.count(F.lit(1)).alias("_m"))
-    # row r of a cloud of m < n points also fills the slots r + m, r + 2 m, ...
-    slots = F.explode(F.sequence(F.col("_rn") - 1, F.lit(n - 1).cast("int"), F.col("_m").cast("int")))
-    out = sized.withColumn("slot", slots).withColumn("point_valid", F.col("slot") < F.col("_m"))
-    return _clean(out.withColumn("slot", F.col("slot").cast("long")))
+    kept = checkpoint(d.where(F.col("_rn") <= n))  # the subset, and what repeats are drawn from
+    first = kept.withColumn("slot", (F.col("_rn") - 1).cast("long")).withColumn("point_valid", F.lit(True))
+    sizes = kept.groupBy(cloud).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") < n)
+    slot = F.explode(F.sequence(F.col("_m"), F.lit(n - 1).cast("long"))).alias("slot")
+    asked = sizes.select(F.col(cloud).alias("_of"), "_m", slot)
+    pick = F.floor(draw("repeat", F.col("slot"), F.col("_of")) * F.col("_m")) + 1
+    asked = asked.select("_of", "slot", pick.cast("int").alias("_pick"))
+    again = kept.join(asked, kept[cloud].eqNullSafe(asked["_of"]) & (kept["_rn"] == asked["_pick"]))
+    again = again.drop("_of", "_pick").withColumn("point_valid", F.lit(False))
+    return _clean(first.unionByName(again))
 
 
 def jitter(

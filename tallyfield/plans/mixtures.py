@@ -120,7 +120,8 @@ def random_main_scans(spark, sf):
     "clouds_resampled",
     f"""SELECT cloud, slot, idx, slot < m AS point_valid FROM (SELECT cloud, idx, rn, least(n, 700) AS m FROM (
   SELECT cloud, idx, row_number() OVER (PARTITION BY cloud ORDER BY {linear_sql('sample', 'idx', 2)}, idx) AS rn, count(*) OVER (PARTITION BY cloud) AS n FROM fx_points) WHERE rn <= 700) p
- JOIN (SELECT range AS slot FROM range(700)) s ON s.slot % p.m = p.rn - 1""",
+ JOIN (SELECT range AS slot, {linear_sql('repeat', 'range', 2)} AS u FROM range(700)) s
+ ON CASE WHEN s.slot < p.m THEN s.slot + 1 ELSE floor(s.u * p.m)::BIGINT + 1 END = p.rn""",
     views=("fx_points",),
 )
 def clouds_resampled(spark, sf):
