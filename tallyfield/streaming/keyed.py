@@ -28,6 +28,10 @@ def _sorted(rows: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
 
 
 def _fields(df: DataFrame, *names: str) -> str:
+    """Schema text of columns; such that begin with an underscore lose their name on the way to Python."""
+    hidden = [n for n in names if n.startswith("_")]
+    if hidden:
+        raise ValueError(f"rename columns that begin with an underscore: {', '.join(hidden)}")
     kinds = dict(df.dtypes)
     return ", ".join(f"{n} {kinds[n]}" for n in names)
 
@@ -126,6 +130,7 @@ def early_stop(
     All rows of one evaluation must come in one batch, as one log line does. Rows without a step are
     no evaluation.
     """
+    _fields(df, step, value)
     out = f"{_fields(df, by)}, {step} long, improved boolean, since long, stop boolean"
     work = _Patience(by, step, source, value, n, min_steps, _fields(df, source), ttl)
     rows = df.select(by, step, source, value).where(F.col(step).isNotNull())
@@ -262,6 +267,7 @@ def perf_windows(
     A run keeps its last ``open_windows`` windows; rows for older ones would start them anew, so they
     must not come. The newest row of a window is its result: see :class:`Upserts`.
     """
+    _fields(df, step, seconds, memory)
     out = f"{_fields(df, by)}, window long, last_step long, step_s double, n long, peak_mem double"
     work = _PerfWindows(by, step, seconds, memory, every, open_windows, ttl)
     return df.select(by, step, seconds, memory).groupBy(by).transformWithStateInPandas(work, out, "update", "processingTime")

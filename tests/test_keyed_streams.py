@@ -114,6 +114,11 @@ def test_monotonic_steps(table, stream, ttl):
     assert rows(got, "run", "pos", "step") == rows(want, "run", "pos", "step")
 
 
+def test_hidden_names_are_refused(stream):
+    with pytest.raises(ValueError):
+        K.monotonic_step(stream.withColumnRenamed("step", "_step"), "run", "pos", "_step")
+
+
 def test_early_stop(table, stream):
     want = D.patience(table, ["run"], "pos", "split", "v", 4, 20)
     got = G.run_available(K.early_stop(stream, "run", "pos", "split", "v", 4, 20, LONG), idle=False)
