@@ -149,33 +149,39 @@ class PointIndex:
             # a little wider than the extent, so that the far edge stays in the root cell
             (F.greatest(*[F.max(c) - F.min(c) for c in self.coords], F.lit(1e-9)) * 1.000001).alias("_size"),
         ]
-        groups = checkpoint(pts.groupBy(*self.by).agg(*extent))
-        top = groups.agg(F.max("_n"), F.max(F.when(F.col("_n") <= small, F.col("_n")))).first()
-        self.largest = int(top[0] or 0)
-        self.groups, self.small = groups, None
+        groups = pts.groupBy(*self.by).agg(*extent)
+        if self.by:
+            groups = checkpoint(groups)
+            top = groups.agg(F.max("_n"), F.max(F.when(F.col("_n") <= small, F.col("_n")))).first()
+            self.largest, some = int(top[0] or 0), bool(top[1])
+            self.frame = None
+        else:
+            self.frame = groups.first()  # one row
+            self.largest = int(self.frame["_n"])
+            some = 0 < self.largest <= small
+        self.small = None
         self.depth, self.levels, self.leaves = 0, None, None
-        if top[1]:
+        if some:
             self.small = pts
-            if self.largest > small:
-                self.small = self._of(pts, groups.where(F.col("_n") <= small))
             self.small_groups = groups.where(F.col("_n") <= small)
+            if self.largest > small:
+                self.small = self._of(pts, self.small_groups)
         if self.largest > small:
             self._build(pts, groups.where(F.col("_n") > small), leaf)
 
     def _of(self, df: DataFrame, groups: DataFrame, *cols: str) -> DataFrame:
         """Rows of ``df`` in ``groups``, with columns of these."""
         if not self.by:
-            row = groups.first()
-            if row is None:
-                return df.limit(0).select("*", *[F.lit(0.0).alias(c) for c in cols])
-            return df.select("*", *[F.lit(float(row[c])).alias(c) for c in cols])
+            return df.select("*", *[F.lit(float(self.frame[c])).alias(c) for c in cols])
         return df.join(groups.select(*self.by, *cols), self.by)
 
     def _build(self, pts: DataFrame, groups: DataFrame, leaf: int) -> None:
         origin = [f"_o{i}" for i in range(len(self.coords))]
         pts = self._of(pts, groups, *origin, "_size")
         fine = _cells(self.coords, [F.col(o) for o in origin], F.col("_size"), MAX_DEPTH)
-        pts = checkpoint(pts.select(*self.by, *self.coords, "_pid", *[c.alias(n) for c, n in zip(fine, self.names)]))
+        pts = pts.select(*self.by, *self.coords, "_pid", *[c.alias(n) for c, n in zip(fine, self.names)])
+        if self.by:  # a join, read for the depth and for the leaves
+            pts = checkpoint(pts)
         self.depth = _depth_needed(pts, self.by, self.names, leaf, self.largest)
         cell = [_up(n, MAX_DEPTH - self.depth).alias(n) for n in self.names]
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
